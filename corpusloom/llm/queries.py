@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.alike import alike_members, alike_pairs
+from corpusloom.llm.neardup import near_duplicate_groups
 from corpusloom.llm.tokenize import token_ids
-from corpusloom.session import table
+from corpusloom.session import cut, table
 
 TEXTS = (("leaf", "passage_id", "snippet"), ("fineweb_row", "id", "text"))
 
@@ -25,9 +26,20 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(leaf_row, class_id, n_links) of every leaf that has a near-equal one."""
+    return near_duplicate_groups(table(spark, sf_dir, "leaf"), "leaf_row", "snippet", 0.7).withColumnRenamed("row", "leaf_row")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = cut(near_duplicate_groups(table(spark, sf_dir, "leaf"), "leaf_row", "snippet", 0.7).select("row", "class_id").distinct())
+    a, b = (groups.select("class_id", F.col("row").alias(name)) for name in ("row_a", "row_b"))
+    return a.join(b, "class_id").where("row_a < row_b").select("row_a", "row_b").distinct()
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p6_ids": p6_ids}
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_groups": p2_groups, "p6_ids": p6_ids}
 ORACLES: dict[str, str] = {}
