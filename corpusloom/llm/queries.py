@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.alike import alike_members, alike_pairs
+from corpusloom.llm.leak import leaked_items
+from corpusloom.llm.mixture import mix_to_targets, mixture_shares
 from corpusloom.llm.neardup import near_duplicate_groups
-from corpusloom.llm.tokenize import token_ids
+from corpusloom.llm.tokenize import token_counts, token_ids
 from corpusloom.session import cut, table
 
 TEXTS = (("leaf", "passage_id", "snippet"), ("fineweb_row", "id", "text"))
@@ -41,5 +43,33 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_groups": p2_groups, "p6_ids": p6_ids}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_leaks(spark, sf_dir).select("benchmark", "item_id", "doc_id").distinct()
+
+
+def p5_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "bench_item"))
+
+
+def p5_unreported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaks that the earlier scan in hit did not report, whatever spelling it gave the document's number."""
+    known = table(spark, sf_dir, "hit").select("benchmark", "item_id", F.regexp_extract("doc_id", "([0-9]+)$", 1).cast("long").alias("doc_id")).distinct()
+    return p5_found(spark, sf_dir).join(known, ["benchmark", "item_id", "doc_id"], "left_anti")
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text")
+    return mix_to_targets(counted, table(spark, sf_dir, "mix_target"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, n_tokens, copies): the mixture, one row per document used."""
+    return _mixed(spark, sf_dir)
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture_shares(_mixed(spark, sf_dir), table(spark, sf_dir, "mix_target"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_groups": p2_groups, "p5_found": p5_found, "p5_leaks": p5_leaks, "p5_unreported": p5_unreported, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
 ORACLES: dict[str, str] = {}
