@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.alike import alike_members, alike_pairs
+from corpusloom.llm.language import fit_word_model, is_mixed, label_language, text_languages
 from corpusloom.llm.leak import leaked_items
 from corpusloom.llm.mixture import mix_to_targets, mixture_shares
 from corpusloom.llm.neardup import near_duplicate_groups
@@ -43,6 +44,38 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, language, segments) of every delivered row of fineweb_row with a key; re-delivered equal rows once."""
+    rows = table(spark, sf_dir, "fineweb_row").select("id", "language", "text")
+    model = fit_word_model(rows, "text", table(spark, sf_dir, "common_word"))
+    rows = rows.where("id is not null").select(F.struct("id", "language").alias("k"), "text").select(F.to_json("k").alias("k"), "text")
+    found = text_languages(rows, "k", "text", model)
+    return found.select(F.from_json("key", "id string, language string").alias("k"), "segments").select("k.id", "k.language", "segments")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cut(_languages(spark, sf_dir))
+    best = F.element_at("segments", 1)["lang"]
+    rows = found.where(best.isNotNull()).select("id", label_language(F.col("language")).alias("label"), best.alias("lang"), "segments")
+    other = ~F.col("label").eqNullSafe(F.col("lang"))
+    whole = rows.where(other).select(F.lit("fineweb_row").alias("src"), F.col("id").alias("rec_key"), F.lit(0).alias("seg_no"), "lang")
+    lines = rows.where(is_mixed(F.col("segments"))).select("id", F.explode("segments").alias("s")).where("s.seg_no > 0 and s.lang is not null")
+    lines = lines.select(F.lit("fineweb_row").alias("src"), F.col("id").alias("rec_key"), F.col("s.seg_no").alias("seg_no"), F.col("s.lang").alias("lang"))
+    entries = table(spark, sf_dir, "manifest_entry").where("snapshot_no = 4 and document_id is not null and occurrence_index is not null")
+    entries = entries.groupBy("document_id", "occurrence_index").agg(F.max(F.struct("delivered_at", "source_url", "language", "source_dataset_id")).alias("e"))
+    entries = entries.select("e.source_url", label_language(F.col("e.language")).alias("label")).where("source_url is not null").distinct()
+    manifest = entries.join(rows.select(F.col("id").alias("source_url"), "lang").distinct(), "source_url").where(other)
+    manifest = manifest.select(F.lit("manifest_entry").alias("src"), F.col("source_url").alias("rec_key"), F.lit(0).alias("seg_no"), "lang")
+    return whole.unionByName(lines).unionByName(manifest).distinct()
+
+
+def p4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, seg_no, lang, confidence): every row of fineweb_row as a whole, and every line of a mixed text."""
+    found = _languages(spark, sf_dir)
+    kept = F.when(is_mixed(F.col("segments")), F.col("segments")).otherwise(F.slice("segments", 1, 1))
+    return found.select("id", F.explode(kept).alias("s")).select("id", "s.seg_no", "s.lang", "s.confidence").distinct()
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_leaks(spark, sf_dir).select("benchmark", "item_id", "doc_id").distinct()
 
@@ -71,5 +104,5 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_shares(_mixed(spark, sf_dir), table(spark, sf_dir, "mix_target"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_groups": p2_groups, "p5_found": p5_found, "p5_leaks": p5_leaks, "p5_unreported": p5_unreported, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_languages": p4_languages, "p5_found": p5_found, "p5_leaks": p5_leaks, "p5_unreported": p5_unreported, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
 ORACLES: dict[str, str] = {}
