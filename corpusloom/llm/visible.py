@@ -54,28 +54,36 @@ def prototypes() -> dict[int, str]:
 
 
 @functools.cache
-def _special() -> re.Pattern[str]:
-    """Characters a skeleton replaces, and combining marks."""
-    cps = sorted(set(prototypes()) | {cp for cp in range(0x300, 0x20000) if unicodedata.combining(chr(cp))})
-    spans: list[list[int]] = []
-    for cp in cps:
-        if spans and spans[-1][1] == cp - 1:
-            spans[-1][1] = cp
-        else:
-            spans.append([cp, cp])
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans) + "]")
+def replacements() -> dict[str, str]:
+    """Composed character -> its visible form, for every character that differs from it."""
+    normalize, table = unicodedata.normalize, prototypes()
+    found = {}
+    for cp in range(0x80, 0x20000):
+        if not 0xD800 <= cp < 0xE000 and not 0x3400 <= cp < 0xA000:
+            to = normalize("NFC", normalize("NFD", chr(cp)).translate(table))
+            if to != normalize("NFC", chr(cp)):
+                found[chr(cp)] = to
+    return found | {chr(cp): to for cp, to in table.items() if cp >= 0x20000}
+
+
+@functools.cache
+def _special() -> frozenset[str]:
+    return frozenset(replacements())
 
 
 def skeleton(text: str) -> str:
-    """The visible form, canonically composed; composing afterwards keeps equality as it is and words whole."""
+    """The visible form, canonically composed; composing keeps equality as it is and words whole."""
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     if text.isascii():
         return text
-    normalize = unicodedata.normalize
-    if _special().search(text) is None:
-        return normalize("NFC", text)
-    return normalize("NFC", normalize("NFD", text).translate(prototypes()))
+    text = unicodedata.normalize("NFC", text)
+    special = _special().intersection(set(text))
+    if not special:
+        return text
+    for ch in special:
+        text = text.replace(ch, replacements()[ch])
+    return unicodedata.normalize("NFC", text)
 
 
 WORD = re.compile(r"[^\W_]+")
