@@ -12,6 +12,7 @@ from corpusloom.llm.language import fit_word_model, is_mixed, label_language, te
 from corpusloom.llm.leak import leaked_items
 from corpusloom.llm.mixture import mix_to_targets, mixture_shares
 from corpusloom.llm.neardup import near_duplicate_groups
+from corpusloom.llm.quality import text_quality
 from corpusloom.llm.tokenize import token_counts, token_ids
 from corpusloom.session import cut, table
 
@@ -104,5 +105,13 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_shares(_mixed(spark, sf_dir), table(spark, sf_dir, "mix_target"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_languages": p4_languages, "p5_found": p5_found, "p5_leaks": p5_leaks, "p5_unreported": p5_unreported, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_word"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_statistics(spark, sf_dir).where("kind <> 'prose'").select("doc_id", "kind")
+
+
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_languages": p4_languages, "p5_found": p5_found, "p5_leaks": p5_leaks, "p5_unreported": p5_unreported, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_statistics": p8_statistics}
 ORACLES: dict[str, str] = {}
