@@ -20,37 +20,42 @@ PERMUTATION = [2, 6, 3, 10, 7, 0, 4, 13, 1, 11, 12, 5, 9, 14, 15, 8]
 CHUNK_START, CHUNK_END, PARENT, ROOT, KEYED_HASH = 1, 2, 4, 8, 16
 BLOCK, CHUNK = 64, 1024
 COLUMNS_AND_DIAGONALS = [(0, 4, 8, 12), (1, 5, 9, 13), (2, 6, 10, 14), (3, 7, 11, 15), (0, 5, 10, 15), (1, 6, 11, 12), (2, 7, 8, 13), (3, 4, 9, 14)]
-LANES = 8192
+LANES = 4096
 #: Prefix of the labels from which sketch keys are derived; a deployment that must reproduce another one's sketches passes its own.
 LABEL = b"corpusloom"
 
 
-def _rotate(x: np.ndarray, n: int) -> np.ndarray:
-    return (x >> np.uint32(n)) | (x << np.uint32(32 - n))
-
-
 def _compress(cv: np.ndarray, block: np.ndarray, counter: np.ndarray | int, length: np.ndarray | int, flags: np.ndarray | int) -> np.ndarray:
     """Chaining values [8, n] of blocks [16, n] (words first, so that every step is a contiguous sweep)."""
     n = block.shape[1]
-    counter = np.broadcast_to(np.asarray(counter, np.uint64), n)
-    v = [np.array(np.broadcast_to(x, n)) for x in cv]
-    v += [np.full(n, x) for x in IV[:4]]
-    v += [(counter & np.uint64(0xFFFFFFFF)).astype(np.uint32), (counter >> np.uint64(32)).astype(np.uint32)]
-    v += [np.array(np.broadcast_to(np.asarray(x, np.uint32), n)) for x in (length, flags)]
-    m = list(block)
+    counter = np.asarray(counter, np.uint64)
+    v = np.empty((16, n), np.uint32)
+    v[:8] = cv if cv.ndim == 2 else cv[:, None]
+    v[8:12] = IV[:4, None]
+    v[12], v[13] = (counter & np.uint64(0xFFFFFFFF)).astype(np.uint32), (counter >> np.uint64(32)).astype(np.uint32)
+    v[14], v[15] = length, flags
+    rows, m = list(v), list(block)
+    spare = np.empty(n, np.uint32)
+
+    def mix(x: np.ndarray, y: np.ndarray, right: int) -> None:
+        """x = (x ^ y) rotated to the right, in place."""
+        x ^= y
+        np.left_shift(x, np.uint32(32 - right), out=spare)
+        x >>= np.uint32(right)
+        x |= spare
+
     for turn in range(7):
-        for k, (a, b, c, d) in enumerate(COLUMNS_AND_DIAGONALS):
-            v[a] = v[a] + v[b] + m[2 * k]
-            v[d] = _rotate(v[d] ^ v[a], 16)
-            v[c] = v[c] + v[d]
-            v[b] = _rotate(v[b] ^ v[c], 12)
-            v[a] = v[a] + v[b] + m[2 * k + 1]
-            v[d] = _rotate(v[d] ^ v[a], 8)
-            v[c] = v[c] + v[d]
-            v[b] = _rotate(v[b] ^ v[c], 7)
+        for k, (i, j, p, q) in enumerate(COLUMNS_AND_DIAGONALS):
+            a, b, c, d = rows[i], rows[j], rows[p], rows[q]
+            for word, far, near in ((m[2 * k], 16, 12), (m[2 * k + 1], 8, 7)):
+                a += b
+                a += word
+                mix(d, a, far)
+                c += d
+                mix(b, c, near)
         if turn < 6:
-            m = [m[p] for p in PERMUTATION]
-    return np.stack([v[i] ^ v[i + 8] for i in range(8)])
+            m = [m[x] for x in PERMUTATION]
+    return v[:8] ^ v[8:]
 
 
 def _blocks(messages: Sequence[bytes], blocks: int) -> np.ndarray:
@@ -60,42 +65,66 @@ def _blocks(messages: Sequence[bytes], blocks: int) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(len(messages), blocks, 16).transpose(1, 2, 0))
 
 
-def _chunks(messages: Sequence[bytes], counters: np.ndarray, key: np.ndarray, base: int, root: np.ndarray) -> np.ndarray:
-    """Chaining value [8, n] of every message of one chunk; where root is set, with the root flag."""
-    sizes = np.array([len(m) for m in messages])
-    count = np.maximum(1, -(-sizes // BLOCK))
-    out = np.zeros((8, len(messages)), np.uint32)
-    for blocks in np.unique(count):
-        for part in np.array_split(np.flatnonzero(count == blocks), max(1, (count == blocks).sum() // LANES)):
-            words = _blocks([messages[i] for i in part], int(blocks))
-            cv = np.repeat(key[:, None], len(part), 1)
-            for b in range(blocks):
-                last = b == blocks - 1
-                flags = np.uint32(base | CHUNK_START * (b == 0) | CHUNK_END * last) | (root[part].astype(np.uint32) * np.uint32(ROOT * last))
-                cv = _compress(cv, words[b], counters[part], (sizes[part] - BLOCK * (blocks - 1)) if last else BLOCK, flags)
+class Chunks:
+    """Messages of at most one chunk each, laid out once and hashed under any number of keys."""
+
+    def __init__(self, messages: Sequence[bytes], counters: np.ndarray | None = None, root: bool = True) -> None:
+        self.size, self.root = len(messages), root
+        sizes = np.array([len(m) for m in messages], np.int64)
+        count = np.maximum(1, -(-sizes // BLOCK))
+        self.parts = []
+        for blocks in np.unique(count):
+            same = np.flatnonzero(count == blocks)
+            for at in range(0, len(same), LANES):
+                part = same[at : at + LANES]
+                last = (sizes[part] - BLOCK * (blocks - 1)).astype(np.uint32)
+                self.parts.append((part, _blocks([messages[i] for i in part], int(blocks)), last, 0 if counters is None else counters[part]))
+
+    def values(self, key: np.ndarray, base: int) -> np.ndarray:
+        """Chaining value [8, n] of every message."""
+        out = np.zeros((8, self.size), np.uint32)
+        for part, words, last, counters in self.parts:
+            cv = key
+            for b in range(len(words)):
+                end = b == len(words) - 1
+                flags = base | CHUNK_START * (b == 0) | (CHUNK_END | ROOT * self.root) * end
+                cv = _compress(cv, words[b], counters, last if end else BLOCK, flags)
             out[:, part] = cv
-    return out
+        return out
+
+
+def _key(key: bytes | None) -> tuple[np.ndarray, int]:
+    return (IV, 0) if key is None else (np.frombuffer(key, "<u4").astype(np.uint32), KEYED_HASH)
 
 
 def hash_many(messages: Sequence[bytes], key: bytes | None = None) -> np.ndarray:
     """Digests, uint8 [n, 32]."""
-    words = IV if key is None else np.frombuffer(key, "<u4").astype(np.uint32)
-    base = 0 if key is None else KEYED_HASH
+    words, base = _key(key)
     out = np.zeros((len(messages), 8), np.uint32)
     small = [i for i, m in enumerate(messages) if len(m) <= CHUNK]
     if small:
-        out[small] = _chunks([messages[i] for i in small], np.zeros(len(small), np.uint64), words, base, np.ones(len(small), bool)).T
-    for i in set(range(len(messages))) - set(small):
-        pieces = [messages[i][a : a + CHUNK] for a in range(0, len(messages[i]), CHUNK)]
-        level = _chunks(pieces, np.arange(len(pieces), dtype=np.uint64), words, base, np.zeros(len(pieces), bool))
-        while level.shape[1] > 1:
-            # an odd node moves up as it is: every left subtree is the largest power of two
-            pairs = level.shape[1] // 2
-            left, right = level[:, 0 : 2 * pairs : 2], level[:, 1 : 2 * pairs : 2]
-            flags = base | PARENT | (ROOT if level.shape[1] == 2 else 0)
-            parents = _compress(words, np.concatenate([left, right]), 0, BLOCK, flags)
-            level = np.concatenate([parents, level[:, 2 * pairs :]], axis=1)
-        out[i] = level[:, 0]
+        out[small] = Chunks([messages[i] for i in small]).values(words, base).T
+    long = [i for i, m in enumerate(messages) if len(m) > CHUNK]
+    if long:
+        pieces = [[messages[i][a : a + CHUNK] for a in range(0, len(messages[i]), CHUNK)] for i in long]
+        values = Chunks([c for p in pieces for c in p], np.array([k for p in pieces for k in range(len(p))], np.uint64), root=False).values(words, base)
+        bounds = np.cumsum([0, *map(len, pieces)])
+        open_ = {i: values[:, a:z] for i, a, z in zip(long, bounds, bounds[1:], strict=False)}
+        while open_:  # one level of all trees at once; an odd node moves up as it is
+            left = np.concatenate([v[:, 0 : v.shape[1] // 2 * 2 : 2] for v in open_.values()], axis=1)
+            right = np.concatenate([v[:, 1::2] for v in open_.values()], axis=1)
+            pairs = [v.shape[1] // 2 for v in open_.values()]
+            flags = np.repeat(np.array([base | PARENT | (ROOT if v.shape[1] == 2 else 0) for v in open_.values()], np.uint32), pairs)
+            parents = np.split(_compress(words, np.concatenate([left, right]), 0, BLOCK, flags), np.cumsum(pairs)[:-1], axis=1)
+            above = {}
+            for (i, v), up in zip(open_.items(), parents, strict=True):
+                if v.shape[1] % 2:
+                    up = np.concatenate([up, v[:, -1:]], axis=1)
+                if up.shape[1] == 1:
+                    out[i] = up[:, 0]
+                else:
+                    above[i] = up
+            open_ = above
     return np.ascontiguousarray(out.astype("<u4")).view(np.uint8).reshape(len(messages), 32)
 
 
@@ -124,6 +153,9 @@ def minhash_many(texts: Sequence[list[str]], label: bytes = LABEL, size: int = 1
     distinct = sorted({s for x in sets for s in x})
     number = {s: i for i, s in enumerate(distinct)}
     encoded = [s.encode() for s in distinct]
+    short = np.array([len(e) <= CHUNK for e in encoded], bool)
+    laid_out, long = Chunks([e for e in encoded if len(e) <= CHUNK]), [e for e in encoded if len(e) > CHUNK]
+    values = np.zeros(len(encoded), np.uint64)
     out = np.full((len(texts), size), np.uint64(0xFFFFFFFFFFFFFFFF))
     filled = [i for i, x in enumerate(sets) if x]
     if not filled:
@@ -131,7 +163,11 @@ def minhash_many(texts: Sequence[list[str]], label: bytes = LABEL, size: int = 1
     members = np.concatenate([[number[s] for s in sets[i]] for i in filled])
     bounds = np.concatenate([[0], np.cumsum([len(sets[i]) for i in filled])])[:-1]
     for k, key in enumerate(minhash_keys(label, size)):
-        out[filled, k] = np.minimum.reduceat(first_u64(hash_many(encoded, key))[members], bounds)
+        low = laid_out.values(*_key(key))
+        values[short] = low[0].astype(np.uint64) | (low[1].astype(np.uint64) << np.uint64(32))
+        if long:
+            values[~short] = first_u64(hash_many(long, key))
+        out[filled, k] = np.minimum.reduceat(values[members], bounds)
     return out
 
 

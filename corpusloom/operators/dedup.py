@@ -85,7 +85,9 @@ def dedup_summary(docs: DataFrame, clustered: DataFrame) -> DataFrame:
     """(documents, near_duplicate_documents, near_duplicate_rate, clusters, largest_cluster)."""
     per = clustered.groupBy("cluster_id").agg(F.first("size").alias("size"))
     found = per.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("near"), F.count("*").alias("clusters"), F.coalesce(F.max("size"), F.lit(0)).alias("largest"))
-    one = docs.agg(F.count("*").alias("documents")).join(F.broadcast(found), F.lit(True))  # one row each
+    zero = F.lit(0).cast("long")
+    sides = docs.agg(F.count("*").alias("documents")).select("documents", zero.alias("near"), zero.alias("clusters"), zero.alias("largest"))
+    one = sides.unionByName(found.select(zero.alias("documents"), "near", "clusters", F.col("largest").cast("long").alias("largest"))).agg(*(F.sum(c).alias(c) for c in ("documents", "near", "clusters", "largest")))
     return one.select("documents", F.col("near").alias("near_duplicate_documents"), share(F.col("near"), F.col("documents")).alias("near_duplicate_rate"), "clusters", F.col("largest").alias("largest_cluster"))
 
 

@@ -61,20 +61,18 @@ def removal_evidence(before: DataFrame, after: DataFrame, targets: DataFrame, ke
     return rows.select(key, outcome.alias("outcome"))
 
 
-def chain_walk(models: DataFrame, bindings: DataFrame, corpora: DataFrame, members: DataFrame, targets: DataFrame) -> DataFrame:
-    """(model, target, member): whether any corpus bound to a model holds the target.
+def chain_walk(questions: DataFrame, bindings: DataFrame, corpora: DataFrame, members: DataFrame) -> DataFrame:
+    """(model, document_id, member): whether any corpus bound to a model holds the document asked for.
 
-    models (model, subject), bindings (subject, attestation, root), corpora (corpus, attestation, root), members (corpus,
-    document_id), targets (target, document_id).  A binding counts only where attestation and root both agree.
+    questions (model, subject, document_id), bindings (subject, attestation, root), corpora (corpus, attestation, root),
+    members (corpus, document_id).  A binding counts only where attestation and root both agree.
     """
-    bound = models.join(bindings, "subject").join(corpora, ["attestation", "root"]).select("model", "corpus").distinct()
-    held = targets.join(members.select("corpus", "document_id").distinct(), "document_id").join(bound, "corpus").select("model", "target").distinct()
-    asked = models.select("model").distinct().join(F.broadcast(targets.select("target").distinct()), F.lit(True)) if _few(targets) else models.select("model").distinct().join(targets.select("target").distinct(), F.lit(True))
-    return asked.join(held.withColumn("member", F.lit(True)), ["model", "target"], "left").withColumn("member", F.coalesce("member", F.lit(False)))
-
-
-def _few(df: DataFrame, most: int = 10_000) -> bool:
-    return df.limit(most + 1).count() <= most
+    asked = questions.select("model", "subject", "document_id").distinct()
+    bound = bindings.join(corpora, ["attestation", "root"]).select("subject", "corpus").distinct()
+    held = asked.join(bound, "subject").join(members.select("corpus", "document_id").distinct(), ["corpus", "document_id"])
+    found = held.select("model", "document_id").distinct().withColumn("member", F.lit(True))
+    out = asked.select("model", "document_id").distinct().join(found, ["model", "document_id"], "left")
+    return out.withColumn("member", F.coalesce("member", F.lit(False)))
 
 
 def with_content(rows: DataFrame, content: DataFrame, key: str = "document_id") -> DataFrame:

@@ -76,6 +76,19 @@ def verify_path(leaf: bytes, index: int, size: int, path: Sequence[bytes], root:
     return not rest and node == root
 
 
+def _fold_block(name: str, level: int, block_levels: int, first: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("position")
+        start, hashes = int(pdf["position"].iloc[0]), list(map(bytes, pdf["hash"]))
+        levels = fold(leaf_hashes(hashes, name) if first else hashes, name)
+        rows = [(level + k, (start >> k) + i, h) for k, nodes in enumerate(levels) for i, h in enumerate(nodes) if first or k]
+        # a block of one node still stands at every level that the full blocks reach
+        rows += [(level + k, start >> k, levels[-1][0]) for k in range(len(levels), block_levels + 1)]
+        return pd.DataFrame(rows, columns=["level", "position", "hash"])
+
+    return run
+
+
 def tree_levels(leaves: DataFrame, position: str, leaf: str, name: str = "blake3", block_levels: int = BLOCK_LEVELS) -> DataFrame:
     """(level, position, hash): every node of the tree over the leaves, whose positions run from 0 without gaps.
 
@@ -88,15 +101,7 @@ def tree_levels(leaves: DataFrame, position: str, leaf: str, name: str = "blake3
     first = True
     while size:
 
-        def run(pdf: pd.DataFrame, first: bool = first, level: int = level) -> pd.DataFrame:
-            pdf = pdf.sort_values("position")
-            start, hashes = int(pdf["position"].iloc[0]), list(map(bytes, pdf["hash"]))
-            levels = fold(leaf_hashes(hashes, name) if first else hashes, name)
-            rows = [(level + k, (start >> k) + i, h) for k, nodes in enumerate(levels) for i, h in enumerate(nodes) if first or k]
-            # a block of one node still stands at every level that the full blocks reach
-            rows += [(level + k, start >> k, levels[-1][0]) for k in range(len(levels), block_levels + 1)]
-            return pd.DataFrame(rows, columns=["level", "position", "hash"])
-
+        run = _fold_block(name, level, block_levels, first)
         blocks = nodes.withColumn("block", F.shiftright("position", block_levels))
         done = cut(blocks.groupBy("block").applyInPandas(run, "level int, position long, hash binary"))
         top = max(1, int(np.ceil(np.log2(size)))) if size > 1 else 0
