@@ -58,37 +58,41 @@ def _compress(cv: np.ndarray, block: np.ndarray, counter: np.ndarray | int, leng
     return v[:8] ^ v[8:]
 
 
-def _blocks(messages: Sequence[bytes], blocks: int) -> np.ndarray:
-    """Words [blocks, 16, n] of messages of at most `blocks` blocks, padded with zeros."""
-    width = blocks * BLOCK
-    raw = np.frombuffer(b"".join(m.ljust(width, b"\0") for m in messages), "<u4")
-    return np.ascontiguousarray(raw.reshape(len(messages), blocks, 16).transpose(1, 2, 0))
+def _block_words(blocks: Sequence[bytes]) -> np.ndarray:
+    """Words [16, n] of blocks, padded with zeros."""
+    raw = np.frombuffer(b"".join(m.ljust(BLOCK, b"\0") for m in blocks), "<u4")
+    return np.ascontiguousarray(raw.reshape(len(blocks), 16).T)
 
 
 class Chunks:
-    """Messages of at most one chunk each, laid out once and hashed under any number of keys."""
+    """Messages of at most one chunk each, laid out once and hashed under any number of keys.
+
+    They are ordered by their number of blocks, so that every step takes the next block of all messages that have one.
+    """
 
     def __init__(self, messages: Sequence[bytes], counters: np.ndarray | None = None, root: bool = True) -> None:
-        self.size, self.root = len(messages), root
+        self.size, self.end = len(messages), CHUNK_END | ROOT * root
         sizes = np.array([len(m) for m in messages], np.int64)
         count = np.maximum(1, -(-sizes // BLOCK))
+        order = np.argsort(-count, kind="stable")
         self.parts = []
-        for blocks in np.unique(count):
-            same = np.flatnonzero(count == blocks)
-            for at in range(0, len(same), LANES):
-                part = same[at : at + LANES]
-                last = (sizes[part] - BLOCK * (blocks - 1)).astype(np.uint32)
-                self.parts.append((part, _blocks([messages[i] for i in part], int(blocks)), last, 0 if counters is None else counters[part]))
+        for at in range(0, len(order), LANES):
+            part = order[at : at + LANES]
+            live = [int((count[part] > b).sum()) for b in range(int(count[part[0]]))]
+            words = [_block_words([messages[i][b * BLOCK : (b + 1) * BLOCK] for i in part[:n]]) for b, n in enumerate(live)]
+            last = (sizes[part] - BLOCK * (count[part] - 1)).astype(np.uint32)
+            self.parts.append((part, words, count[part], last, None if counters is None else counters[part]))
 
     def values(self, key: np.ndarray, base: int) -> np.ndarray:
         """Chaining value [8, n] of every message."""
         out = np.zeros((8, self.size), np.uint32)
-        for part, words, last, counters in self.parts:
-            cv = key
-            for b in range(len(words)):
-                end = b == len(words) - 1
-                flags = base | CHUNK_START * (b == 0) | (CHUNK_END | ROOT * self.root) * end
-                cv = _compress(cv, words[b], counters, last if end else BLOCK, flags)
+        for part, steps, count, last, counters in self.parts:
+            cv = np.repeat(key[:, None], len(part), 1)
+            for b, words in enumerate(steps):
+                n = words.shape[1]
+                ends = count[:n] == b + 1
+                flags = np.where(ends, base | CHUNK_START * (b == 0) | self.end, base | CHUNK_START * (b == 0)).astype(np.uint32)
+                cv[:, :n] = _compress(cv[:, :n], words, 0 if counters is None else counters[:n], np.where(ends, last[:n], np.uint32(BLOCK)), flags)
             out[:, part] = cv
         return out
 
@@ -97,35 +101,45 @@ def _key(key: bytes | None) -> tuple[np.ndarray, int]:
     return (IV, 0) if key is None else (np.frombuffer(key, "<u4").astype(np.uint32), KEYED_HASH)
 
 
+class Messages:
+    """Messages of any length, laid out once and hashed under any number of keys."""
+
+    def __init__(self, messages: Sequence[bytes]) -> None:
+        self.size = len(messages)
+        self.small = [i for i, m in enumerate(messages) if len(m) <= CHUNK]
+        self.long = [i for i, m in enumerate(messages) if len(m) > CHUNK]
+        self.short = Chunks([messages[i] for i in self.small])
+        pieces = [[messages[i][a : a + CHUNK] for a in range(0, len(messages[i]), CHUNK)] for i in self.long]
+        self.bounds = np.cumsum([0, *map(len, pieces)])
+        self.pieces = Chunks([c for p in pieces for c in p], np.array([k for p in pieces for k in range(len(p))], np.uint64), root=False)
+
+    def values(self, key: bytes | None = None) -> np.ndarray:
+        """First eight words [8, n] of every digest."""
+        words, base = _key(key)
+        out = np.zeros((8, self.size), np.uint32)
+        if self.small:
+            out[:, self.small] = self.short.values(words, base)
+        if not self.long:
+            return out
+        level = self.pieces.values(words, base)
+        sizes, owner = np.diff(self.bounds), np.array(self.long)
+        while len(sizes):  # one level of all trees at once; an odd node moves up as it is
+            within = np.arange(level.shape[1]) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            last = np.repeat(sizes, sizes) - 1
+            left = np.flatnonzero((within % 2 == 0) & (within < last))
+            flags = np.where(last[left] == 1, base | PARENT | ROOT, base | PARENT).astype(np.uint32)
+            level[:, left] = _compress(words, np.concatenate([level[:, left], level[:, left + 1]]), 0, BLOCK, flags)
+            level, sizes = level[:, within % 2 == 0], (sizes + 1) // 2
+            done = np.repeat(sizes == 1, sizes)
+            out[:, owner[sizes == 1]] = level[:, done]
+            level, owner, sizes = np.ascontiguousarray(level[:, ~done]), owner[sizes > 1], sizes[sizes > 1]
+        return out
+
+
 def hash_many(messages: Sequence[bytes], key: bytes | None = None) -> np.ndarray:
     """Digests, uint8 [n, 32]."""
-    words, base = _key(key)
-    out = np.zeros((len(messages), 8), np.uint32)
-    small = [i for i, m in enumerate(messages) if len(m) <= CHUNK]
-    if small:
-        out[small] = Chunks([messages[i] for i in small]).values(words, base).T
-    long = [i for i, m in enumerate(messages) if len(m) > CHUNK]
-    if long:
-        pieces = [[messages[i][a : a + CHUNK] for a in range(0, len(messages[i]), CHUNK)] for i in long]
-        values = Chunks([c for p in pieces for c in p], np.array([k for p in pieces for k in range(len(p))], np.uint64), root=False).values(words, base)
-        bounds = np.cumsum([0, *map(len, pieces)])
-        open_ = {i: values[:, a:z] for i, a, z in zip(long, bounds, bounds[1:], strict=False)}
-        while open_:  # one level of all trees at once; an odd node moves up as it is
-            left = np.concatenate([v[:, 0 : v.shape[1] // 2 * 2 : 2] for v in open_.values()], axis=1)
-            right = np.concatenate([v[:, 1::2] for v in open_.values()], axis=1)
-            pairs = [v.shape[1] // 2 for v in open_.values()]
-            flags = np.repeat(np.array([base | PARENT | (ROOT if v.shape[1] == 2 else 0) for v in open_.values()], np.uint32), pairs)
-            parents = np.split(_compress(words, np.concatenate([left, right]), 0, BLOCK, flags), np.cumsum(pairs)[:-1], axis=1)
-            above = {}
-            for (i, v), up in zip(open_.items(), parents, strict=True):
-                if v.shape[1] % 2:
-                    up = np.concatenate([up, v[:, -1:]], axis=1)
-                if up.shape[1] == 1:
-                    out[i] = up[:, 0]
-                else:
-                    above[i] = up
-            open_ = above
-    return np.ascontiguousarray(out.astype("<u4")).view(np.uint8).reshape(len(messages), 32)
+    found = Messages(messages).values(key).T
+    return np.ascontiguousarray(found.astype("<u4")).view(np.uint8).reshape(len(messages), 32)
 
 
 def digest(message: bytes, key: bytes | None = None) -> bytes:
@@ -153,9 +167,7 @@ def minhash_many(texts: Sequence[list[str]], label: bytes = LABEL, size: int = 1
     distinct = sorted({s for x in sets for s in x})
     number = {s: i for i, s in enumerate(distinct)}
     encoded = [s.encode() for s in distinct]
-    short = np.array([len(e) <= CHUNK for e in encoded], bool)
-    laid_out, long = Chunks([e for e in encoded if len(e) <= CHUNK]), [e for e in encoded if len(e) > CHUNK]
-    values = np.zeros(len(encoded), np.uint64)
+    laid_out = Messages(encoded)
     out = np.full((len(texts), size), np.uint64(0xFFFFFFFFFFFFFFFF))
     filled = [i for i, x in enumerate(sets) if x]
     if not filled:
@@ -163,10 +175,8 @@ def minhash_many(texts: Sequence[list[str]], label: bytes = LABEL, size: int = 1
     members = np.concatenate([[number[s] for s in sets[i]] for i in filled])
     bounds = np.concatenate([[0], np.cumsum([len(sets[i]) for i in filled])])[:-1]
     for k, key in enumerate(minhash_keys(label, size)):
-        low = laid_out.values(*_key(key))
-        values[short] = low[0].astype(np.uint64) | (low[1].astype(np.uint64) << np.uint64(32))
-        if long:
-            values[~short] = first_u64(hash_many(long, key))
+        low = laid_out.values(key)
+        values = low[0].astype(np.uint64) | (low[1].astype(np.uint64) << np.uint64(32))
         out[filled, k] = np.minimum.reduceat(values[members], bounds)
     return out
 
