@@ -26,7 +26,8 @@ def nfc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def normalize_text(text: Column, compose: bool = True) -> Column:
     """NFC, lower case, runs of Unicode white space to one blank, no blank at the ends; null stays null.
 
-    Only the composition leaves the JVM; pass compose=False where the text is known to be in form C.
+    Only the composition leaves the JVM; pass compose=False where the text is known to be in form C.  Functions of words take
+    the result as a column of its own, as lambda functions can't hold a Python UDF.
     """
     return F.trim(F.regexp_replace(F.lower(nfc(text) if compose else text), WHITE_SPACE, " "))
 

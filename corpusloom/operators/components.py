@@ -30,7 +30,7 @@ def connected_components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFr
     Self-loops and repeated edges are harmless; a null end leaves the edge out; no edges give no rows.  Only two numbers
     per round reach the driver; neighbourhoods are joined, never collected; each round is checkpointed.
     """
-    edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    edges = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     loops = edges.where("u = v").select("u")
     edges = cut(edges.where("u <> v").distinct().unionByName(loops.select("u", F.col("u").alias("v")).distinct()))
     vertices = edges.select(F.explode(F.array("u", "v")).alias("vertex")).distinct()
