@@ -27,6 +27,8 @@ TREES = 12
 SMALL_NODE = 24
 MOST_LEVELS = 10
 FUNCTIONS = 256
+#: Functions whose minwise tokens may be selected for branching.
+POSITIONS = 128
 #: Share of equal bits of two sketches below which sets are not compared: 6 standard deviations under its mean at 0.70.
 BIT_SLACK = 6 * (0.15 * 0.85 / FUNCTIONS) ** 0.5
 _SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, (2, FUNCTIONS), np.uint64)
@@ -53,33 +55,53 @@ def minwise(tokens: np.ndarray) -> np.ndarray:
     return least
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["row", "digest", "tokens", "sketch", "mins"]
-    for batch in batches:
-        rows, digests, tokens, sketches, mins = [], [], [], [], []
-        for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if len(found := run_hashes(text)):
-                least = minwise(found)
-                rows.append(row)
-                digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                tokens.append(found.view(np.int64))
-                sketches.append(np.packbits(((least >> np.uint64(33)) & np.uint64(1)).astype(np.uint8)).view(np.int64))
-                mins.append((least >> np.uint64(32)).astype(np.uint32).view(np.int32))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(rows, pa.int64()), pa.array(digests, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())), pa.array(mins, pa.list_(pa.int32()))], names=names
-        )
-
-
-def run_sets(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(row, digest, tokens, sketch, mins); null keys, null texts and texts without a run give no row."""
+def _digest(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+
+
+def _sets(with_tokens: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, digests, tokens = [], [], []
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if len(found := run_hashes(text)):
+                    rows.append(row)
+                    digests.append(_digest(found))
+                    if with_tokens:
+                        tokens.append(found.view(np.int64))
+            columns = [pa.array(rows, pa.int64()), pa.array(digests, pa.binary())] + [pa.array(tokens, pa.list_(pa.int64()))] * with_tokens
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "digest", "tokens"][: len(columns)])
+
+    return run
+
+
+def run_sets(df: DataFrame, key: str, text: str, with_tokens: bool = True) -> DataFrame:
+    """(row, digest, tokens) or (row, digest); null keys, null texts and texts without a run give no row."""
     rows = df.select(F.col(key).cast("long").alias("row"), F.col(text).alias("text")).where("row is not null and text is not null")
-    return rows.mapInArrow(_sets, "row long, digest binary, tokens array<long>, sketch array<long>, mins array<int>")
+    return rows.mapInArrow(_sets(with_tokens), "row long, digest binary" + ", tokens array<long>" * with_tokens)
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sketches, mins = [], []
+        at = batch.schema.get_field_index("tokens")
+        for tokens in batch.column(at):
+            least = minwise(tokens.values.to_numpy().view(np.uint64))
+            sketches.append(np.packbits(((least >> np.uint64(33)) & np.uint64(1)).astype(np.uint8)).view(np.int64))
+            mins.append((least[:POSITIONS] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+        columns = [*batch.columns, pa.array(sketches, pa.list_(pa.int64())), pa.array(mins, pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "sketch", "mins"])
+
+
+def with_sketches(sets: DataFrame) -> DataFrame:
+    """(rep, digest, tokens) with a sketch of one bit per hash function and the minwise tokens of POSITIONS of them."""
+    return sets.select("rep", "digest", "tokens").mapInArrow(_sketches, "rep long, digest binary, tokens array<long>, sketch array<long>, mins array<int>")
 
 
 def _branch(level: DataFrame, threshold: float) -> DataFrame:
     """Children of every set: one position for sure, a second one with the probability that makes 1 / threshold."""
     second = round((1 / threshold - 1) * 1_000_000)
-    at = [F.pmod(F.xxhash64("node", F.lit(k)), F.lit(FUNCTIONS)).cast("int") for k in (1, 2)]
+    at = [F.pmod(F.xxhash64("node", F.lit(k)), F.lit(POSITIONS)).cast("int") for k in (1, 2)]
     child = [F.xxhash64("node", i, F.element_at("mins", i + 1)) for i in at]
     more = (F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1_000_000)) < second) & (at[0] != at[1])
     nodes = F.when(more, F.array(*child)).otherwise(F.array(child[0]))
@@ -158,10 +180,9 @@ def near_duplicate_groups(df: DataFrame, key: str, text: str, threshold: float =
     Equal sets are one set with several rows (a copy held by a third of all rows is one set); rows whose text is null,
     blank or has under five words belong to no group; re-delivered rows count once; equal links tie without effect.
     """
-    rows = cut(run_sets(df, key, text))
-    sets = rows.groupBy("digest").agg(F.min("row").alias("rep"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"), F.first("mins").alias("mins"))
-    sets = cut(sets)
-    members = rows.select("row", "digest").join(sets.select("digest", "rep"), "digest").select("row", "rep").distinct()
+    grouped = run_sets(df, key, text).groupBy("digest").agg(F.min("row").alias("rep"), F.first("tokens").alias("tokens"))
+    sets = cut(with_sketches(grouped))
+    members = run_sets(df, key, text, False).join(sets.select("digest", "rep"), "digest").select("row", "rep").distinct()
     links = cut(chosen_path_links(sets, threshold))
     labels = connected_components(links, "a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
