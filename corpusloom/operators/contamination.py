@@ -15,16 +15,23 @@ CONTAINED, NEAR, MOST_HITS = 0.9, 0.8, 10
 BROADCAST_BYTES = 16_000_000
 
 
-def _prepared(df: DataFrame, text: str, *keys: str) -> DataFrame:
-    return df.select(*keys, normalize_text(F.coalesce(F.col(text), F.lit(""))).alias("normal")).withColumn("w", words(F.col("normal")))
+def _normal(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, normalize_text(F.coalesce("text", F.lit(""))).alias("normal"))
 
 
-def shared_runs(docs: DataFrame, items: DataFrame, n: int, name: str, broadcast: bool) -> DataFrame:
-    """(benchmark, item_id, doc_id, name): distinct n-word runs that a document and an item share, by an inverted index."""
-    index = items.select("benchmark", "item_id", F.explode(word_runs(F.col("w"), n)).alias("run"))
-    runs = docs.select("doc_id", F.explode(word_runs(F.col("w"), n)).alias("run"))
-    joined = runs.join(F.broadcast(index) if broadcast else index, "run")
-    return joined.groupBy("benchmark", "item_id", "doc_id").agg(F.count("*").alias(name))
+def _runs(normal: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n, run): distinct runs of 13 and of 5 words, from one pass over the text."""
+    rows = normal.select(*keys, words(F.col("normal")).alias("w"))
+    sized = [F.struct(F.lit(n).alias("n"), word_runs(F.col("w"), n).alias("runs")) for n in (EXACT_WORDS, RUN_WORDS)]
+    return rows.select(*keys, F.explode(F.array(*sized)).alias("s")).select(*keys, "s.n", F.explode("s.runs").alias("run"))
+
+
+def shared_runs(docs: DataFrame, items: DataFrame, broadcast: bool) -> DataFrame:
+    """(benchmark, item_id, doc_id, shared_exact, shared_part): distinct runs of 13 and of 5 words that a document and an
+    item share, by an inverted index of the items; where it is broadcast only pairs are shuffled."""
+    index = _runs(items, "benchmark", "item_id")
+    joined = _runs(docs, "doc_id").join(F.broadcast(index) if broadcast else index, ["n", "run"])
+    return joined.groupBy("benchmark", "item_id", "doc_id").agg(F.count_if(F.col("n") == EXACT_WORDS).alias("shared_exact"), F.count_if(F.col("n") == RUN_WORDS).alias("shared_part"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, near: float | None = NEAR, kernel: str = "blake3", label: bytes = LABEL) -> DataFrame:
@@ -35,23 +42,22 @@ def contamination(docs: DataFrame, items: DataFrame, near: float | None = NEAR,
     similarity of at least `near`, which is looked at only where a 5-word run is shared (near=None skips it: 0 and false).
     Flags use unrounded values.  Null texts count as empty, items of under five words are never flagged.
     """
-    size = int(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    small = size <= BROADCAST_BYTES
-    docs, items = cut(_prepared(docs, "text", "doc_id")), cut(_prepared(items, "text", "benchmark", "item_id").distinct())
-    exact = shared_runs(docs, items, EXACT_WORDS, "shared_exact", small)
-    part = shared_runs(docs, items, RUN_WORDS, "shared_part", small)
+    small = int(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= BROADCAST_BYTES
+    items = cut(_normal(items, "benchmark", "item_id").distinct())
     keys = ["benchmark", "item_id", "doc_id"]
-    facts = items.select("benchmark", "item_id", snippet(F.col("normal")).alias("item_snippet"), F.size(word_runs(F.col("w"), RUN_WORDS)).alias("item_runs"), F.col("normal").alias("item_normal"))
-    pairs = exact.join(part, keys, "full_outer").join(facts, ["benchmark", "item_id"])
-    pairs = pairs.withColumn("shared_exact", F.coalesce("shared_exact", F.lit(0))).withColumn("c", F.when(F.col("item_runs") > 0, F.coalesce("shared_part", F.lit(0)) / F.col("item_runs")).otherwise(0.0))
+    facts = items.select("benchmark", "item_id", "normal", words(F.col("normal")).alias("w"))
+    facts = facts.select("benchmark", "item_id", snippet(F.col("normal")).alias("item_snippet"), F.size(word_runs(F.col("w"), RUN_WORDS)).alias("item_runs"))
+    pairs = shared_runs(_normal(docs, "doc_id"), items, small).join(facts, ["benchmark", "item_id"])
+    pairs = pairs.withColumn("c", F.when(F.col("item_runs") > 0, F.col("shared_part") / F.col("item_runs")).otherwise(0.0))
     if near is None:
         pairs = pairs.withColumn("j", F.lit(0.0))
     else:
         pairs = cut(pairs)
-        of = lambda df, *k: with_sketches(df.select(*k, "normal"), "normal", kernel, label).select(*k, "minhash")
         wanted = pairs.where("shared_part > 0")
-        x = of(docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id").withColumnRenamed("minhash", "x")
-        y = of(items.join(wanted.select("benchmark", "item_id").distinct(), ["benchmark", "item_id"], "left_semi"), "benchmark", "item_id").withColumnRenamed("minhash", "y")
+        of = lambda df, *k: with_sketches(df.select(*k, "normal"), "normal", kernel, label).select(*k, "minhash")
+        asked = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")  # before any text is normalised
+        x = of(_normal(asked, "doc_id"), "doc_id").withColumnRenamed("minhash", "x")
+        y = of(items, "benchmark", "item_id").withColumnRenamed("minhash", "y")
         j = wanted.select(*keys).join(x, "doc_id").join(y, ["benchmark", "item_id"]).select(*keys, jaccard_estimate(F.col("x"), F.col("y")).alias("j"))
         pairs = pairs.join(j, keys, "left").withColumn("j", F.coalesce("j", F.lit(0.0)))
     flags = [(F.col("shared_exact") > 0).alias("exact"), (F.col("j") >= (2.0 if near is None else near)).alias("near"), (F.col("c") >= CONTAINED).alias("contained")]

@@ -32,12 +32,9 @@ def bands(signatures: DataFrame, key: str, count: int = BANDS, rows: int = ROWS)
 
 
 def signatures(docs: DataFrame, key: str, text: str, kernel: str = "blake3", label: bytes = LABEL) -> DataFrame:
-    """(key, digest, minhash): every distinct normalised text is sketched once."""
-    normal = docs.select(F.col(key).alias("key"), normalize_text(F.coalesce(F.col(text), F.lit(""))).alias("normal")).withColumn("digest", F.sha2("normal", 256))
-    normal = cut(normal)
-    distinct = normal.groupBy("digest").agg(F.first("normal").alias("normal"))
-    sketched = with_sketches(distinct, "normal", kernel, label).select("digest", "minhash")
-    return cut(normal.select("key", "digest").join(sketched, "digest"))
+    """(key, minhash) of every row; texts are sketched where they are read and never shuffled."""
+    normal = docs.select(F.col(key).alias("key"), normalize_text(F.coalesce(F.col(text), F.lit(""))).alias("normal"))
+    return cut(with_sketches(normal, "normal", kernel, label).select("key", "minhash"))
 
 
 def dedup_links(sketched: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:

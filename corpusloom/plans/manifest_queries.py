@@ -11,7 +11,7 @@ from corpusloom.operators import lookup as lk
 from corpusloom.operators import manifest as m
 from corpusloom.operators import merkle as mk
 from corpusloom.operators.dedup import signatures
-from corpusloom.session import table
+from corpusloom.session import spread, table
 
 OLD, NEW = 3, 4
 
@@ -179,7 +179,7 @@ def hamming_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signatures(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", "fast").select(F.col("key").alias("doc_id"), "minhash")
+    return signatures(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", "fast").select(F.col("key").alias("doc_id"), "minhash")
 
 
 def index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,11 +10,11 @@ from corpusloom.functions.blake3 import with_digest, with_sketches
 from corpusloom.operators import contamination as c
 from corpusloom.operators import dedup as d
 from corpusloom.operators.passages import passages
-from corpusloom.session import cut, table
+from corpusloom.session import cut, spread, table
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _normal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,8 +60,7 @@ def contamination_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def minhash_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _normal(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)  # the kernel outweighs the move of the text
-    return with_sketches(rows, "normal", "blake3", simhash=True).select("doc_id", "minhash", "simhash")
+    return with_sketches(_normal(spark, sf_dir), "normal", "blake3", simhash=True).select("doc_id", "minhash", "simhash")
 
 
 def document_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
