@@ -22,7 +22,7 @@ from corpusloom.llm.visible import words
 
 RUN, ROW_OF_WORDS, SHARE = 5, 13, 0.5
 #: Text of the items that one automaton holds; more items are matched in further passes.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 1_000_000
 
 
 @dataclass

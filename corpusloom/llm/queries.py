@@ -14,11 +14,15 @@ from corpusloom.llm.mixture import mix_to_targets, mixture_shares
 from corpusloom.llm.neardup import near_duplicate_groups
 from corpusloom.llm.quality import text_quality
 from corpusloom.llm.tokenize import token_counts, token_ids
-from corpusloom.session import cut, table
+from corpusloom.session import cut, spread, table
 
 TEXTS = (("leaf", "passage_id", "snippet"), ("fineweb_row", "id", "text"))
 
 
+def _texts(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", *more, "text"))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [alike_pairs(table(spark, sf_dir, name), key, text).select(F.lit(name).alias("src"), "key_a", "key_b") for name, key, text in TEXTS]
     return reduce(DataFrame.unionByName, parts)
@@ -42,12 +46,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return token_ids(_texts(spark, sf_dir), "doc_id", "text")
 
 
 def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key, language, segments) of every delivered row of fineweb_row with a key; re-delivered equal rows once."""
-    rows = table(spark, sf_dir, "fineweb_row").select("id", "language", "text")
+    rows = spread(table(spark, sf_dir, "fineweb_row").select("id", "language", "text"))
     model = fit_word_model(rows, "text", table(spark, sf_dir, "common_word"))
     rows = rows.where("id is not null").select(F.struct("id", "language").alias("k"), "text").select(F.to_json("k").alias("k"), "text")
     found = text_languages(rows, "k", "text", model)
@@ -82,7 +86,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "bench_item"))
+    return leaked_items(_texts(spark, sf_dir), table(spark, sf_dir, "bench_item"))
 
 
 def p5_unreported(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +96,7 @@ def p5_unreported(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = token_counts(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text")
+    counted = token_counts(_texts(spark, sf_dir, "source"), "text")
     return mix_to_targets(counted, table(spark, sf_dir, "mix_target"))
 
 
@@ -106,7 +110,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_word"))
+    return text_quality(_texts(spark, sf_dir), table(spark, sf_dir, "common_word"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
