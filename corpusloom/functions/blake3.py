@@ -254,3 +254,14 @@ def with_sketches(df: DataFrame, normal: str, kernel: str = "blake3", label: byt
                 yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "minhash", *["simhash"] * simhash])
 
     return df.mapInArrow(run, schema)
+
+
+def fingerprints(df: DataFrame, text: str, kernel: str = "blake3", label: bytes = LABEL) -> DataFrame:
+    """df with a column `fingerprint`: digests, NFC characters, MinHash and SimHash of the normalised text and the length of
+    the original in bytes; null for a null text."""
+    from corpusloom.functions.text import nfc, normalize_text
+
+    base = df.withColumn("_nfc", nfc(F.col(text))).withColumn("_normal", normalize_text(F.col("_nfc"), compose=False))
+    found = with_digest(with_sketches(base, "_normal", kernel, label, simhash=True), "_normal", "_blake3")
+    bundle = F.struct(F.lower(F.hex("_blake3")).alias("blake3"), F.sha2("_normal", 256).alias("sha256"), F.octet_length(text).alias("byte_len"), F.length("_nfc").alias("nfc_char_count"), F.col("minhash"), F.col("simhash"))
+    return found.withColumn("fingerprint", F.when(F.col(text).isNotNull(), bundle)).drop("_nfc", "_normal", "_blake3", "minhash", "simhash")

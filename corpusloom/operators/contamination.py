@@ -11,8 +11,8 @@ from corpusloom.operators.dedup import jaccard_estimate
 from corpusloom.session import cut
 
 CONTAINED, NEAR, MOST_HITS = 0.9, 0.8, 10
-#: Largest text of the items for which their runs are broadcast; above it the runs are joined by a shuffle.
-BROADCAST_BYTES = 16_000_000
+#: Largest text of the items for which their runs, about twenty times as large, are broadcast; above it they are shuffled.
+BROADCAST_BYTES = 1_000_000
 
 
 def _normal(df: DataFrame, *keys: str) -> DataFrame:

@@ -119,15 +119,19 @@ def bucket_statistics(buckets: DataFrame) -> DataFrame:
 def best_minhash(signatures: DataFrame, queries: DataFrame, key: str, query: str, least_ppm: int = MINHASH_PPM, index: DataFrame | None = None) -> DataFrame:
     """(query, key, ppm): of every query signature the most similar row at or above least_ppm, of equal ones the least key.
 
-    Candidates agree in at least one band of the index; without one it is built here.
+    Equal signatures are looked up once and found by their least key, so copies cost nothing; candidates agree in at least
+    one band of the index, which holds at least the least key of every signature and without which it is built here.
     """
-    index = index_buckets(signatures, key) if index is None else index
-    asked = index_buckets(queries, query).withColumnRenamed(query, "_query")
+    known = cut(signatures.groupBy("minhash").agg(F.min(key).alias(key)))
+    index = index_buckets(known, key) if index is None else index
+    groups = cut(queries.groupBy("minhash").agg(F.min(query).alias("_query")))
+    asked = index_buckets(groups, "_query")
     pairs = asked.join(index, ["band", "bucket"]).select("_query", F.col(key).alias("_key")).distinct()
-    x, y = queries.select(F.col(query).alias("_query"), F.col("minhash").alias("x")), signatures.select(F.col(key).alias("_key"), F.col("minhash").alias("y"))
+    x, y = groups.select("_query", F.col("minhash").alias("x")), known.select(F.col(key).alias("_key"), F.col("minhash").alias("y"))
     scored = pairs.join(x, "_query").join(y, "_key").select("_query", "_key", jaccard_ppm(F.col("x"), F.col("y")).alias("ppm")).where(F.col("ppm") >= least_ppm)
     best = scored.groupBy("_query").agg(F.min(F.struct((-F.col("ppm")).alias("d"), F.col("_key").alias("k"))).alias("b"))
-    return best.select(F.col("_query").alias(query), F.col("b.k").alias(key), (-F.col("b.d")).alias("ppm"))
+    members = queries.join(groups, "minhash").select(F.col(query), "_query")
+    return members.join(best, "_query").select(query, F.col("b.k").alias(key), (-F.col("b.d")).alias("ppm"))
 
 
 def near_bits(values: DataFrame, queries: DataFrame, key: str, query: str, bits: str = "bits", most: int = PERCEPTUAL_THRESHOLD) -> DataFrame:
@@ -144,3 +148,25 @@ def best_bits(pairs: DataFrame, key: str, query: str) -> DataFrame:
     """The nearest row of every query, of equally near ones the least key."""
     best = pairs.groupBy(query).agg(F.min(F.struct("distance", key)).alias("b"))
     return best.select(query, F.col(f"b.{key}").alias(key), F.col("b.distance").alias("distance"))
+
+
+# --- the whole cascade ---------------------------------------------------------------------------------------------
+
+
+def prove(manifest: DataFrame, targets: DataFrame, signatures: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
+    """(target, outcome, matched_by, confidence, before, after) of targets (target, document_id, sha256[, minhash]).
+
+    outcome: included by the first stage that finds the target (document_id, sha256, then MinHash over signatures
+    (document_id, minhash)), ambiguous where a digest is held by several rows, else the adjacency case with the neighbours.
+    """
+    exact = exact_matches(manifest, targets.select("target", "document_id", "sha256"))
+    found = exact.select("target", F.when(F.col("matches") > 1, "ambiguous").when(F.col("matches") == 1, "included").alias("o"), F.col("matched_by").alias("m"))
+    if signatures is not None:
+        open_ = targets.join(found.where("o is null").select("target"), "target", "left_semi").where("minhash is not null")
+        similar = best_minhash(signatures, open_.select("target", "minhash"), "document_id", "target", index=index).select("target", F.lit("minhash").alias("s"))
+        found = found.join(similar, "target", "left").select("target", F.coalesce("o", F.when(F.col("s").isNotNull(), "included")).alias("o"), F.coalesce("m", "s").alias("m"))
+    near = adjacent_leaves(manifest, targets)
+    rows = targets.select("target", "document_id").join(found, "target").join(near, "document_id", "left")
+    missed = F.col("o").isNull()
+    confidence = F.coalesce(*(F.when(F.col("m") == k, F.lit(v)) for k, v in CONFIDENCE.items()))
+    return rows.select("target", F.coalesce("o", "outcome").alias("outcome"), F.col("m").alias("matched_by"), F.when(F.col("o") == "included", confidence).alias("confidence"), F.when(missed, F.col("before")).alias("before"), F.when(missed, F.col("after")).alias("after"))

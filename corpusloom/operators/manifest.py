@@ -24,26 +24,37 @@ MOST_EXAMPLES = 16
 # --- sealing -------------------------------------------------------------------------------------------------------
 
 
-def input_ordinals(df: DataFrame, order: Sequence[str], name: str = "input_ordinal") -> DataFrame:
-    """0-based position in the order of the given columns, without ordering the table on one task.
+def ranks(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """0-based rank of every row within its group, in the order of the given columns, with no group or table on one task.
 
-    Rows are range-partitioned and ranked within their partition; the offset of a partition is the running sum of the
-    counts before it, of which there are as many as partitions.
+    Rows are range-partitioned by group and order and ranked within their partition.  Only the first group of a partition
+    can have begun in an earlier one; what it has there is summed from one row per partition.  Order should be unique.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
-    inside = Window.partitionBy("_part").orderBy(*order)
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.withColumn("_before", before).drop("_n")  # one row per partition
-    ranked = ranged.withColumn("_rank", F.row_number().over(inside) - 1).join(F.broadcast(offsets), "_part")
-    return ranked.withColumn(name, (F.col("_rank") + F.col("_before")).cast("long")).drop("_part", "_rank", "_before")
+    ranged = cut(df.repartitionByRange(parts, *group, *order).withColumn("_ranks_part", F.spark_partition_id()))
+    of_group = F.struct(*group) if group else F.struct(F.lit(0).alias("all"))
+    ranked = ranged.withColumn("_ranks_group", of_group)
+    edges = ranked.groupBy("_ranks_part").agg(F.min("_ranks_group").alias("_ranks_first"), F.max("_ranks_group").alias("_ranks_last"))
+    tails = ranked.join(F.broadcast(edges), "_ranks_part").groupBy("_ranks_part").agg(F.count_if(F.col("_ranks_group") == F.col("_ranks_last")).alias("_ranks_n"))
+    ends = edges.join(F.broadcast(tails), "_ranks_part")  # one row per partition
+    earlier = ends.select(F.col("_ranks_part").alias("_ranks_from"), F.col("_ranks_last").alias("_ranks_first"), "_ranks_n")
+    offsets = edges.select("_ranks_part", "_ranks_first").join(F.broadcast(earlier), "_ranks_first").where("_ranks_from < _ranks_part").groupBy("_ranks_part").agg(F.sum("_ranks_n").alias("_ranks_before"))
+    offsets = edges.select("_ranks_part", "_ranks_first").join(F.broadcast(offsets), "_ranks_part", "left")
+    inside = Window.partitionBy("_ranks_part", "_ranks_group").orderBy(*order)
+    ranked = ranked.withColumn("_ranks_rank", F.row_number().over(inside) - 1).join(F.broadcast(offsets), "_ranks_part")
+    before = F.when(F.col("_ranks_group") == F.col("_ranks_first"), F.coalesce("_ranks_before", F.lit(0))).otherwise(0)
+    return ranked.withColumn(name, (F.col("_ranks_rank") + before).cast("long")).drop("_ranks_part", "_ranks_group", "_ranks_first", "_ranks_rank", "_ranks_before")
+
+
+def input_ordinals(df: DataFrame, order: Sequence[str], name: str = "input_ordinal") -> DataFrame:
+    """0-based position in the order of the given columns."""
+    return ranks(df, [], order, name)
 
 
 def occurrence_indices(df: DataFrame, document: str = "document_id", ordinal: str = "input_ordinal", name: str = "occurrence_index") -> DataFrame:
-    """Rank of every row within its document, by input order, from 0."""
-    rank = F.row_number().over(Window.partitionBy(document).orderBy(ordinal)) - 1
-    return df.withColumn(name, rank.cast("int"))
+    """Rank of every row within its document, by input order, from 0; one document may hold any share of the rows."""
+    ranked = ranks(df.drop(name), [document], [ordinal], name)
+    return ranked.withColumn(name, F.col(name).cast("int"))
 
 
 def occurrence_violations(df: DataFrame) -> DataFrame:

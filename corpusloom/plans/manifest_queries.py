@@ -137,6 +137,13 @@ def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hex(lk.adjacent_leaves(new, old), "document_id", "before", "after")
 
 
+def prove_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cascade for every document of the older version against the newer one."""
+    old, new = _both(spark, sf_dir)
+    targets = old.groupBy("document_id").agg(F.min("sha256").alias("sha256")).select(t.hex_of(F.col("document_id")).alias("target"), "document_id", "sha256")
+    return _hex(lk.prove(new, targets), "before", "after")
+
+
 def removal_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _both(spark, sf_dir)
     return _hex(lk.removal_evidence(old, new, table(spark, sf_dir, "manifest_entry")), "document_id")
@@ -187,10 +194,10 @@ def index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best match among the other documents of every document whose id is divisible by 100."""
+    """The best match of every document whose id is divisible by 100 among all documents, its own first copy included."""
     rows = _signatures(spark, sf_dir)
     asked = rows.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "minhash")
-    return lk.best_minhash(rows.where("doc_id % 100 <> 0"), asked, "doc_id", "query_id")
+    return lk.best_minhash(rows, asked, "doc_id", "query_id")
 
 
 ROBOTS = "User-agent: GPTBot\nDisallow: /\nAllow: /del\n\nUser-agent: *\nDisallow: /ith\nDisallow: /var\nAllow: /vark\n"
@@ -243,7 +250,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         seal_manifest, occurrence_audit, compose_manifest, compose_coverage, manifest_totals, inspect_manifest, version_summary, version_histogram, diff_status, diff_counts, diff_examples, composition_shift,
-        added_ids, common_ids, signal_coverage, license_inventory, shard_plan, merge_ranked, merkle_root, audit_paths, membership_exact, adjacency, removal_evidence, chain_walk, mime_modality,
+        added_ids, common_ids, signal_coverage, license_inventory, shard_plan, merge_ranked, merkle_root, audit_paths, membership_exact, adjacency, prove_targets, removal_evidence, chain_walk, mime_modality,
         extension_modality, size_categories, hamming_neighbours, index_statistics, fuzzy_lookup, signal_verdicts, ruleset_decisions, consent_files,
     )
 }
@@ -315,6 +322,13 @@ SELECT shard, lower(hex(document_id)) AS document_id, size_bytes, input_ordinal:
 a AS (SELECT document_id, count(*) AS n FROM new GROUP BY 1), b AS (SELECT sha256, count(*) AS n FROM new GROUP BY 1)
 SELECT lower(hex(t.document_id)) AS target, CASE WHEN a.n > 0 THEN 'blake3' WHEN b.n > 0 THEN 'sha256' END AS matched_by, coalesce(a.n, b.n, 0)::BIGINT AS matches
 FROM t LEFT JOIN a USING (document_id) LEFT JOIN b ON b.sha256 = t.sha256""",
+    "prove_targets": f"""{_BOTH}, t AS (SELECT document_id, min(sha256) AS sha256 FROM old GROUP BY 1),
+a AS (SELECT document_id, count(*) AS n FROM new GROUP BY 1), b AS (SELECT sha256, count(*) AS n FROM new GROUP BY 1),
+x AS (SELECT t.document_id, CASE WHEN a.n > 0 THEN 'blake3' WHEN b.n > 0 THEN 'sha256' END AS matched_by, coalesce(a.n, b.n, 0) AS n,
+  (SELECT max(document_id) FROM new WHERE new.document_id < t.document_id) AS lo, (SELECT min(document_id) FROM new WHERE new.document_id > t.document_id) AS hi
+  FROM t LEFT JOIN a USING (document_id) LEFT JOIN b ON b.sha256 = t.sha256)
+SELECT lower(hex(document_id)) AS target, CASE WHEN n > 1 THEN 'ambiguous' WHEN n = 1 THEN 'included' WHEN lo IS NULL AND hi IS NULL THEN 'empty' WHEN lo IS NULL THEN 'before_first' WHEN hi IS NULL THEN 'after_last' ELSE 'interior' END AS outcome,
+  matched_by, CASE WHEN n = 1 THEN 1.0::DOUBLE END AS confidence, CASE WHEN n = 0 THEN lower(hex(lo)) END AS before, CASE WHEN n = 0 THEN lower(hex(hi)) END AS after FROM x""",
     "adjacency": f"""{_BOTH}, q AS (SELECT DISTINCT document_id FROM old), l AS (SELECT DISTINCT document_id, document_id AS leaf FROM new),
 m AS (SELECT document_id, leaf, q.document_id IS NOT NULL AS asked FROM q FULL JOIN l USING (document_id)),
 w AS (SELECT *, max(leaf) OVER (ORDER BY document_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lo, min(leaf) OVER (ORDER BY document_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS hi,

@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from corpusloom.schemas import MANIFEST
 
@@ -37,11 +38,9 @@ def read_jsonl(spark: SparkSession, path: str, text: str = "text") -> DataFrame:
     """
     lines = spark.read.text(path).select("value", _stem().alias("stem"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    from pyspark.sql.window import Window
-
     before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = blocks.select("file", "block", "first", before.alias("before"))
-    numbered = lines.join(F.broadcast(offsets), ["file", "block"]).withColumn("line", F.col("at") - F.col("first") + F.col("before"))
+    numbered = lines.join(offsets, ["file", "block"]).withColumn("line", F.col("at") - F.col("first") + F.col("before"))
     rows = numbered.where(F.trim("value") != "")
     parsed = F.try_parse_json("value")
     kind = lambda name: F.schema_of_variant(F.try_variant_get(parsed, f"$.{name}", "variant"))
@@ -145,3 +144,50 @@ def manifest_source(spec: str) -> dict[str, str | None]:
 def cache_key(spec: str) -> str:
     """Name under which a remote manifest is kept: the digest of its parts."""
     return hashlib.sha256(json.dumps(manifest_source(spec), sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+# --- rows of common datasets as documents --------------------------------------------------------------------------
+
+
+def entries_of_rows(df: DataFrame, text: Column, uri: Column, dataset: str, language: Column | None = None) -> DataFrame:
+    """(source_url, source_dataset_id, language, content, size_bytes) of the rows of a dataset; a null text is empty."""
+    content = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
+    return df.select(uri.alias("source_url"), F.lit(dataset).alias("source_dataset_id"), (F.lit(None).cast("string") if language is None else language).alias("language"), content.alias("content"), F.octet_length(content).cast("long").alias("size_bytes"))
+
+
+def read_text_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """(split, name, content) of <split>/*.txt under a folder; splits are the first folders."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(folder)
+    parts = F.split("path", "/")
+    return files.select(F.element_at(parts, -2).alias("split"), F.element_at(parts, -1).alias("name"), "content")
+
+
+# --- similarity index and reports ----------------------------------------------------------------------------------
+
+
+def write_index(signatures: DataFrame, buckets: DataFrame, path: str, root: str, **parameters: int) -> None:
+    """Signatures and buckets of an index with the root of the manifest it was built for."""
+    signatures.write.mode("overwrite").parquet(f"{path}/signatures")
+    buckets.write.mode("overwrite").parquet(f"{path}/buckets")
+    row = [(root, json.dumps(parameters, sort_keys=True))]
+    signatures.sparkSession.createDataFrame(row, "root string, parameters string").coalesce(1).write.mode("overwrite").parquet(f"{path}/binding")
+
+
+def read_index(spark: SparkSession, path: str, root: str) -> tuple[DataFrame, DataFrame] | None:
+    """(signatures, buckets), or None where there is no index or it was built for another manifest."""
+    try:
+        bound = spark.read.parquet(f"{path}/binding").first()
+        if bound is None or bound.root != root:
+            return None
+        return spark.read.parquet(f"{path}/signatures"), spark.read.parquet(f"{path}/buckets")
+    except Exception:  # missing or damaged: the caller searches without it
+        return None
+
+
+def write_report(report: dict, markdown: str, folder: str) -> None:
+    """report.json, keys sorted, and report.md of a small report."""
+    from corpusloom.functions.evidence import deterministic_json
+
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    Path(folder, "report.json").write_text(deterministic_json(report), encoding="utf-8")
+    Path(folder, "report.md").write_text(markdown, encoding="utf-8")

@@ -52,3 +52,13 @@ def test_columns(spark):
     assert set(sketched[2].minhash) == {-1} and sketched[2].simhash == 0 and sketched[1].minhash_note == "extra"
     assert b.with_sketches(df.where("false"), "t").count() == 0
     assert df.select(F.col("k")).count() == 3
+
+
+def test_fingerprints(spark):
+    text = "The quick brown fox jumps over the lazy dog. Pack my box with five dozen liquor jugs."
+    rows = b.fingerprints(spark.createDataFrame([(1, text), (2, None), (3, "")], "k int, t string"), "t").collect()
+    found = {r.k: r.fingerprint for r in rows}
+    normal = text.lower()
+    assert found[1].blake3 == b.digest(normal.encode()).hex() and found[1].byte_len == 85 and found[1].nfc_char_count == 85
+    assert found[1].simhash == b.simhash_many([normal.split()]).view(np.int64)[0] and len(found[1].minhash) == 128
+    assert found[2] is None and found[3].byte_len == 0

@@ -73,3 +73,24 @@ def test_iscc(spark):
     row = df.select(lk.iscc_distance(F.col("a"), F.col("b"), 20).alias("d"), lk.iscc_bands(F.col("a"), 20).alias("x"), lk.iscc_bands(F.col("b"), 20).alias("y")).first()
     assert row.d == 1 and sum(p == q for p, q in zip(row.x, row.y, strict=True)) == 4
     assert len(df.select(lk.perceptual_bands(F.lit(1).cast("long"), F.lit(2).cast("long")).alias("x")).first().x) == 16
+
+
+def test_prove(spark):
+    words = [f"w{i}" for i in range(200)]
+    sigs = with_sketches(spark.createDataFrame([(key(10), " ".join(words)), (key(20), " ".join(reversed(words)))], "document_id binary, t string"), "t", "fast").select("document_id", "minhash")
+    manifest = spark.createDataFrame([(key(10), key(110)), (key(20), key(120)), (key(30), key(130)), (key(30), key(130))], "document_id binary, sha256 binary")
+    near = with_sketches(spark.createDataFrame([("near", key(15), key(0), " ".join(words[:199]))], "target string, document_id binary, sha256 binary, t string"), "t", "fast").drop("t")
+    rest = spark.createDataFrame([("a", key(10), key(0)), ("b", key(1), key(120)), ("c", key(30), key(0)), ("d", key(25), key(0)), ("e", key(99), key(0))], "target string, document_id binary, sha256 binary").withColumn("minhash", F.lit(None).cast("array<bigint>"))
+    found = {r.target: (r.outcome, r.matched_by, r.confidence) for r in lk.prove(manifest, near.unionByName(rest), sigs).collect()}
+    assert found == {"a": ("included", "blake3", 1.0), "b": ("included", "sha256", 1.0), "c": ("ambiguous", "blake3", None), "d": ("interior", None, None), "e": ("after_last", None, None), "near": ("included", "minhash", 0.8)}
+
+
+def test_stored_index(spark, tmp_path):
+    from corpusloom.sources.readers import read_index, write_index
+
+    df = with_sketches(spark.createDataFrame([(1, "a b c d e f"), (2, "g h i j k l")], "id long, t string"), "t", "fast").select("id", "minhash")
+    write_index(df, lk.index_buckets(df, "id"), str(tmp_path / "i"), "root", bands=32)
+    stored, buckets = read_index(spark, str(tmp_path / "i"), "root")
+    found = lk.best_minhash(stored, df.withColumnRenamed("id", "q"), "id", "q", index=buckets).collect()
+    assert {(r.q, r.id, r.ppm) for r in found} == {(1, 1, 1_000_000), (2, 2, 1_000_000)}
+    assert read_index(spark, str(tmp_path / "i"), "other") is None and read_index(spark, str(tmp_path / "none"), "root") is None

@@ -76,3 +76,11 @@ def test_ranks_and_shards(spark):
 def test_unsorted_shards(spark):
     df = spark.createDataFrame([(0, 0, b"a"), (0, 1, b"b"), (1, 0, b"b"), (1, 1, b"a")], "shard int, position int, document_id binary")
     assert [tuple(r) for r in m.unsorted_shards(df).collect()] == [(1, 1)]
+
+
+def test_one_document_holds_most_rows(spark):
+    df = spark.range(5000).select(F.when(F.col("id") % 5 > 0, F.lit(b"hot")).otherwise(F.encode(F.col("id").cast("string"), "UTF-8")).alias("document_id"), (F.lit(5000) - F.col("id")).alias("input_ordinal"), F.lit(9).alias("occurrence_index"))
+    found = m.occurrence_indices(df).collect()
+    hot = sorted((r.input_ordinal, r.occurrence_index) for r in found if bytes(r.document_id) == b"hot")
+    assert [r for _, r in hot] == list(range(4000)) and {r.occurrence_index for r in found if bytes(r.document_id) != b"hot"} == {0}
+    assert m.occurrence_indices(df.where("false")).count() == 0

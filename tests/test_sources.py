@@ -60,3 +60,14 @@ def test_remote_names():
     assert r.manifest_source("hf://a/b")["revision"] == "main" and r.manifest_source("file:///x")["location"] == "/x"
     assert r.cache_key("hf://a/b") == r.cache_key("hf://a/b@main") != r.cache_key("hf://a/b@v1")
     json.dumps(r.manifest_source("https://x.example/m"))
+
+
+def test_trees_rows_and_reports(spark, tmp_path):
+    for split in ("train", "test"):
+        (tmp_path / "t" / split).mkdir(parents=True)
+        (tmp_path / "t" / split / "1.txt").write_text(split)
+    assert {(x.split, x.name, bytes(x.content)) for x in r.read_text_tree(spark, str(tmp_path / "t")).collect()} == {("train", "1.txt", b"train"), ("test", "1.txt", b"test")}
+    rows = r.entries_of_rows(spark.createDataFrame([("u", None)], "u string, t string"), F.col("t"), F.col("u"), "d").first()
+    assert (rows.source_url, bytes(rows.content), rows.size_bytes, rows.language) == ("u", b"", 0, None)
+    r.write_report({"b": 1, "a": 2}, "# r\n", str(tmp_path / "out"))
+    assert (tmp_path / "out" / "report.json").read_text() == '{"a":2,"b":1}'
