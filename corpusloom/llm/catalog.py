@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import queries
+from corpusloom.llm import oracles, queries
 
 QUERIES = queries.QUERIES
-ORACLES = queries.ORACLES
+ORACLES = oracles.ORACLES

@@ -118,4 +118,3 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_languages": p4_languages, "p5_found": p5_found, "p5_leaks": p5_leaks, "p5_unreported": p5_unreported, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_statistics": p8_statistics}
-ORACLES: dict[str, str] = {}
