@@ -102,14 +102,19 @@ def mix_to_targets(docs: DataFrame, mix: DataFrame, key: str = "doc_id", total:
     drawn = cut(drawn.select("key", "source", "n_tokens", "whole", rank.cast("long").alias("rank")))
     certain = {r.source: float(r.t) for r in drawn.groupBy("source").agg(F.sum(F.col("whole") * F.col("n_tokens")).alias("t")).collect()}
     rest = {s: p.budget - certain.get(s, 0.0) for s, p in plans.items()}
-    taken = _first_by_rank(drawn, rest)
-    copies = F.col("whole") + F.coalesce(F.col("one_more"), F.lit(0))
-    out = drawn.join(taken, ["source", "key"], "left") if taken is not None else drawn.withColumn("one_more", F.lit(0))
+    last = _last_taken(drawn, rest)
+    if last is None:
+        out = drawn.withColumn("one_more", F.lit(0))
+    else:  # one row per source says where its ranking is cut
+        upto = (F.col("rank") < F.col("low")) | (F.struct("rank", "key") <= F.col("last"))
+        out = drawn.join(F.broadcast(last), "source", "left").withColumn("one_more", F.when(F.coalesce(upto, F.lit(False)), 1).otherwise(0))
+    copies = F.col("whole") + F.col("one_more")
     return out.select(F.col("key").alias(key), "source", "n_tokens", copies.cast("int").alias("copies")).where("copies > 0")
 
 
-def _first_by_rank(drawn: DataFrame, rest: dict[str, float]) -> DataFrame | None:
-    """(source, key, one_more = 1): of each source the first documents by rank whose tokens come nearest to its rest."""
+def _last_taken(drawn: DataFrame, rest: dict[str, float]) -> DataFrame | None:
+    """(source, low, last): of each source the first documents by rank whose tokens come nearest to its rest are those with
+    a rank below low and those up to last (rank, key), which is null where none follows."""
     ranked = drawn.where("rank is not null")
     at = {s: (0, 0, r) for s, r in rest.items() if r > 0}  # source -> first rank of the open bucket, digits fixed, tokens left
     schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("low", T.LongType()), T.StructField("high", T.LongType()), T.StructField("rest", T.DoubleType())])
@@ -134,11 +139,9 @@ def _first_by_rank(drawn: DataFrame, rest: dict[str, float]) -> DataFrame | None
             break
     bounds = drawn.sparkSession.createDataFrame([(s, low, low + (1 << (RANK_BITS - fixed * DIGIT_BITS)), left) for s, (low, fixed, left) in at.items()], schema)
     joined = ranked.join(F.broadcast(bounds), "source")
-    before = joined.where("rank < low").select("source", "key")
     order = Window.partitionBy("source").orderBy("rank", "key")
-    total = F.sum("n_tokens").over(order)
-    edge = joined.where("rank >= low and rank < high").withColumn("upto", total).where(F.col("upto") - F.col("n_tokens") / 2 <= F.col("rest")).select("source", "key")
-    return before.unionByName(edge).withColumn("one_more", F.lit(1))
+    edge = joined.where("rank >= low and rank < high").withColumn("upto", F.sum("n_tokens").over(order)).where(F.col("upto") - F.col("n_tokens") / 2 <= F.col("rest"))
+    return bounds.select("source", "low").join(edge.groupBy("source").agg(F.max(F.struct("rank", "key")).alias("last")), "source", "left")
 
 
 def mixture_shares(used: DataFrame, mix: DataFrame) -> DataFrame:
