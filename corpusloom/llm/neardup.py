@@ -3,7 +3,7 @@
 A record is the set of its distinct five-word runs.  Every tree starts with all distinct sets at its root; a node sends a
 set to one child per selected minwise token (1 / threshold children on average, the same positions for all sets of the
 node), so that similar sets stay together more often than they multiply.  Nodes with few sets are compared exhaustively;
-larger ones branch again.  Independent trees raise the recall of a link at the threshold (0.79 for one tree of one level,
+larger ones branch again.  Independent trees raise the recall of a link at the threshold (about 0.79 for one tree of one level,
 0.65 of two, 0.52 of three) to 1 - 10^-8, 1 - 10^-5 and 0.9998 at TREES = 12; links above the threshold fare better.
 """
 
