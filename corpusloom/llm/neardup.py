@@ -3,7 +3,8 @@
 A record is the set of its distinct five-word runs.  Every tree starts with all distinct sets at its root; a node sends a
 set to one child per selected minwise token (1 / threshold children on average, the same positions for all sets of the
 node), so that similar sets stay together more often than they multiply.  Nodes with few sets are compared exhaustively;
-larger ones branch again.  Independent trees raise the recall of a link at the threshold (about 0.79 for one tree of one level,
+larger ones branch again; sets of nodes that MOST_LEVELS don't part
+are compared exactly, each pair once.  Independent trees raise the recall of a link at the threshold (about 0.79 for one tree of one level,
 0.65 of two, 0.52 of three) to 1 - 10^-8, 1 - 10^-5 and 0.9998 at TREES = 12; links above the threshold fare better.
 """
 
@@ -27,6 +28,8 @@ TREES = 12
 SMALL_NODE = 24
 MOST_LEVELS = 10
 FUNCTIONS = 256
+#: Sets and tokens, on average, of a block of a family; columns of a slice of the token matrix.
+BLOCK_SETS, BLOCK_TOKENS, COLUMNS = 512, 1 << 18, 2048
 #: Functions whose minwise tokens may be selected for branching.
 POSITIONS = 128
 #: Share of equal bits of two sketches below which sets are not compared: 6 standard deviations under its mean at 0.70.
@@ -134,27 +137,70 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return joined.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def _stuck(nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links that connect what is connected in nodes that no level splits: sets that are near copies of one another.
+def _block_links(threshold: float):
+    """Links of the sets of two blocks (or of one), from shared tokens counted exactly by matrix products over slices of columns."""
+
+    def run(table: pa.Table) -> pa.Table:
+        reps, block = table["rep"].to_numpy(), table["block"].to_numpy()
+        lists = table["tokens"].combine_chunks()
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        _, column, held = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        row, column = np.repeat(np.arange(len(reps)), sizes), column.reshape(-1)
+        several = held[column] > 1  # a token of one set is shared by none
+        row, column = row[several], (np.cumsum(held > 1) - 1)[column[several]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        one, other = (np.flatnonzero(block == table[k][0].as_py()) for k in ("i", "j"))
+        shared = np.zeros((len(one), len(other)), np.float32)
+        for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            lo, hi = np.searchsorted(column, (start, start + COLUMNS))
+            holds = np.zeros((len(reps), COLUMNS), np.float32)
+            holds[row[lo:hi], column[lo:hi] - start] = 1
+            shared += holds[one] @ holds[other].T
+        shared = shared.astype(np.float64)
+        links = np.zeros((len(reps), len(reps)), bool)
+        links[np.ix_(one, other)] = shared / (sizes[one][:, None] + sizes[other][None, :] - shared) >= threshold
+        links |= links.T
+        np.fill_diagonal(links, False)
+        peers, seen = np.arange(len(reps)), np.zeros(len(reps), bool)
+        for root in range(len(reps)):
+            waiting = [] if seen[root] else [root]
+            seen[root] = True
+            while waiting:
+                new = np.flatnonzero(links[(v := waiting.pop())] & ~seen)
+                seen[new], peers[new] = True, v
+                waiting.extend(new.tolist())
+        degrees = links.sum(axis=1)
+        some = degrees > 0
+        return pa.table({"rep": reps[some], "peer": reps[peers[some]], "n": degrees[some].astype(np.int64)})
 
-    All sets are compared with the node's first one; those linked to it need no further link among themselves.  The few
-    that are not are compared with every set of the node.
+    return run
+
+
+def _families(stuck: DataFrame) -> DataFrame:
+    """(rep, family): sets of nodes (node, rep) that no level splits, in one family where their nodes hold a set in common."""
+    first = stuck.groupBy("node").agg(F.min("rep").alias("a"))
+    return connected_components(stuck.join(first, "node").select("a", "rep").distinct(), "a", "rep").select(F.col("vertex").alias("rep"), F.col("component").alias("family"))
+
+
+def _family_links(families: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(rep, peer, n): the links of each set within its family, every pair compared once, in salted blocks of bounded size.
+
+    Only numbers of links and a spanning forest of each two blocks' links (a root's peer is itself) leave a comparison.
     """
-    first = nodes.groupBy("node").agg(F.min("rep").alias("a"))
-    star = verify(nodes.select("node", F.col("rep").alias("b")).join(first, "node").where("a <> b").select("a", "b").distinct(), sets, threshold).select("a", "b")
-    star = cut(star)
-    rest = nodes.join(first, "node").where("rep <> a").join(star.withColumnRenamed("b", "rep"), ["a", "rep"], "left_anti").drop("a")
-    a = rest.select("node", F.struct("rep", "size", "sketch").alias("a"))
-    b = nodes.select("node", F.struct("rep", "size", "sketch").alias("b"))
-    more = a.join(b, "node").where("a.rep <> b.rep").where(_close(threshold)).select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b"))
-    return star.unionByName(more)
-
-
-def chosen_path_links(sets: DataFrame, threshold: float, trees: int = TREES) -> DataFrame:
-    """(a, b, similarity): links between distinct sets (rep, tokens, sketch, mins)."""
+    members = families.join(sets.select("rep", "tokens"), "rep")
+    sized = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum(F.size("tokens")) / BLOCK_TOKENS)).cast("int").alias("blocks"))
+    blocks = members.join(sized, "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    twos = blocks.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    twos = twos.select("family", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "rep", "tokens")
+    return twos.groupBy("family", "i", "j").applyInArrow(_block_links(threshold), "rep long, peer long, n long")
+
+
+def chosen_path_links(sets: DataFrame, threshold: float, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
+    """(a, b) edges that connect what links connect, and (rep, n_links), of distinct sets (rep, tokens, sketch, mins)."""
     level = sets.select("rep", F.size("tokens").alias("size"), "sketch", "mins", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree"))
     level = level.withColumn("node", F.xxhash64(F.lit("root"), "tree"))
-    found = []
+    found, stuck = [], None
     for depth in range(1, MOST_LEVELS + 1):
         nodes = cut(_branch(level, threshold))
         counts = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
@@ -164,13 +210,24 @@ def chosen_path_links(sets: DataFrame, threshold: float, trees: int = TREES) ->
         if not counts.where(F.col("n") > SMALL_NODE).limit(1).count():
             break
         if depth == MOST_LEVELS:
-            found.append(_stuck(large, sets, threshold))
+            stuck = large.select("node", "rep")
         else:
             level = large.join(sets.select("rep", "mins"), "rep")
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
-    return verify(pairs.distinct(), sets, threshold)
+    pairs = pairs.distinct()
+    if stuck is not None:
+        families = cut(_families(stuck))
+        of = lambda k: families.select(F.col("rep").alias(k), F.col("family").alias(f"f{k}"))
+        pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("fa is null or fb is null or fa <> fb").select("a", "b")
+    links = cut(verify(pairs, sets, threshold).select("a", "b"))
+    ends = links.select(F.explode(F.array("a", "b")).alias("rep"), F.lit(1).cast("long").alias("n"))
+    if stuck is not None:
+        inner = cut(_family_links(families, sets, threshold))
+        links = links.unionByName(inner.where("rep <> peer").select(F.col("rep").alias("a"), F.col("peer").alias("b")))
+        ends = ends.unionByName(inner.select("rep", "n"))
+    return links, ends.groupBy("rep").agg(F.sum("n").alias("n_links"))
 
 
 def near_duplicate_groups(df: DataFrame, key: str, text: str, threshold: float = 0.8) -> DataFrame:
@@ -183,9 +240,8 @@ def near_duplicate_groups(df: DataFrame, key: str, text: str, threshold: float =
     grouped = run_sets(df, key, text).groupBy("digest").agg(F.min("row").alias("rep"), F.first("tokens").alias("tokens"))
     sets = cut(with_sketches(grouped))
     members = run_sets(df, key, text, False).join(sets.select("digest", "rep"), "digest").select("row", "rep").distinct()
-    links = cut(chosen_path_links(sets, threshold))
+    links, degree = chosen_path_links(sets, threshold)
     labels = connected_components(links, "a", "b")
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     labelled = members.join(labels.withColumnRenamed("vertex", "rep"), "rep", "left").join(degree, "rep", "left")
     labelled = labelled.select("row", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     alone = labelled.groupBy("class_id").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo <> hi").select("class_id")

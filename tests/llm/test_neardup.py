@@ -71,6 +71,34 @@ def test_nodes_that_never_split(spark, monkeypatch):
     assert found(spark, texts) == {i: 0 for i in range(150)}
 
 
+def brute_links(texts, threshold):
+    sets = {i: set(nd.run_hashes(t).tolist()) for i, t in texts}
+    return {i: n for i in sets if (n := sum(i != k and len(sets[i] & sets[k]) >= threshold * len(sets[i] | sets[k]) for k in sets))}
+
+
+def test_links_of_nodes_that_never_split(spark, monkeypatch):
+    """Every link between different texts is counted once, in one block and across several."""
+    random.seed(8)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for i in range(100):
+        edited = list(base)
+        for j in random.sample(range(150), i % 6 and 1 + i % 6):
+            edited[j] = f"edit{i}x{j}"
+        texts.append((i, " ".join(edited)))
+    texts += [(1000 + i, " ".join(f"n{i}x{j}" for j in range(30))) for i in range(50)]
+    texts = list({t: (i, t) for i, t in texts}.values())
+    monkeypatch.setattr(nd, "MOST_LEVELS", 1)
+    wanted = brute_links(texts, 0.7)
+    assert len(set(wanted.values())) > 5
+    for sets, tokens in ((512, 1 << 18), (20, 4000)):
+        monkeypatch.setattr(nd, "BLOCK_SETS", sets, raising=False)
+        monkeypatch.setattr(nd, "BLOCK_TOKENS", tokens, raising=False)
+        rows = nd.near_duplicate_groups(frame(spark, texts), "leaf", "t", 0.7).collect()
+        counted = {r.row: r.n_links for r in rows}
+        assert (sum(counted.values()), counted) == (sum(wanted.values()), wanted)
+
+
 def test_hot_copies(spark):
     df = spark.range(30_000).select(F.col("id").cast("int").alias("leaf"), F.when(F.col("id") % 3 == 0, F.lit("a b c d e f g h")).otherwise(F.concat_ws(" ", *(F.concat(F.lit(x), F.col("id").cast("string")) for x in "pqrstu"))).alias("t"))
     rows = nd.near_duplicate_groups(df, "leaf", "t", 0.7)
