@@ -4,13 +4,16 @@ A record is the set of its distinct five-word runs.  Every tree starts with all
 set to one child per selected minwise token (1 / threshold children on average, the same positions for all sets of the
 node), so that similar sets stay together more often than they multiply.  Nodes with few sets are compared exhaustively;
 larger ones branch again; sets of nodes that MOST_LEVELS don't part
-are compared exactly, each pair once.  Independent trees raise the recall of a link at the threshold (about 0.79 for one tree of one level,
-0.65 of two, 0.52 of three) to 1 - 10^-8, 1 - 10^-5 and 0.9998 at TREES = 12; links above the threshold fare better.
+are compared exactly, each pair once.  Independent trees raise the recall of a link at the
+threshold: TREES = 12 give 0.9998 after three levels; sets that branch further get the trees that take it there at the
+deepest level reached (50 at ten levels).  Links above the threshold fare better.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +30,8 @@ RUN = 5
 TREES = 12
 SMALL_NODE = 24
 MOST_LEVELS = 10
+#: Expected share of links at the threshold that must be found whatever level is reached; TREES give it up to level DEEP.
+RECALL, DEEP = 0.9998, 3
 FUNCTIONS = 256
 #: Sets and tokens, on average, of a block of a family; columns of a slice of the token matrix.
 BLOCK_SETS, BLOCK_TOKENS, COLUMNS = 512, 1 << 18, 2048
@@ -196,34 +201,81 @@ def _family_links(families: DataFrame, sets: DataFrame, threshold: float) -> Dat
     return twos.groupBy("family", "i", "j").applyInArrow(_block_links(threshold), "rep long, peer long, n long")
 
 
-def chosen_path_links(sets: DataFrame, threshold: float, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
-    """(a, b) edges that connect what links connect, and (rep, n_links), of distinct sets (rep, tokens, sketch, mins)."""
-    level = sets.select("rep", F.size("tokens").alias("size"), "sketch", "mins", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree"))
+def recall(levels: int, trees: int, threshold: float) -> float:
+    """Expected share of the links at the threshold that `trees` trees of that many levels find.
+
+    Of a link, k of the POSITIONS minwise tokens agree (binomial); a node passes both sets on to a child in common for each
+    selected position that agrees, so whether any branch keeps them together is a branching process.
+    """
+    missed, second = 0.0, 1 / threshold - 1
+    for k in range(POSITIONS + 1):
+        agree, kept = k / POSITIONS, 1.0
+        for _ in range(levels):
+            kept = 1 - (1 - agree * kept) * (1 - second * agree * kept)
+        missed += math.comb(POSITIONS, k) * threshold**k * (1 - threshold) ** (POSITIONS - k) * (1 - kept) ** trees
+    return 1 - missed
+
+
+def trees_for(levels: int, threshold: float, least: int = TREES) -> int:
+    """The fewest trees, at least `least`, whose recall after so many levels reaches RECALL."""
+    return next(n for n in itertools.count(least) if recall(levels, n, threshold) >= RECALL)
+
+
+def _trees(sets: DataFrame, threshold: float, first: int, last: int) -> tuple[list[DataFrame], DataFrame | None, DataFrame | None, int]:
+    """Of trees first to last over sets (rep, tokens, sketch, mins, family): candidate pairs, (node, rep) of the nodes that
+    no level parts, the sets that pass level DEEP, and the deepest level.
+
+    A node within one family is left out: its sets are compared with one another anyway.
+    """
+    level = sets.select("rep", F.size("tokens").alias("size"), "sketch", "mins", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("tree"))
     level = level.withColumn("node", F.xxhash64(F.lit("root"), "tree"))
-    found, stuck = [], None
+    family = sets.select("rep", F.coalesce("family", F.xxhash64("rep")).alias("family"))
+    found, stuck, deep = [], None, None
     for depth in range(1, MOST_LEVELS + 1):
         nodes = cut(_branch(level, threshold))
-        counts = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+        if first == 1:
+            counts = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+        else:
+            counts = nodes.join(family, "rep").groupBy("node").agg(F.count("*").alias("n"), F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo <> hi").select("node", "n")
         sized = nodes.join(counts, "node")
         found.append(_within(sized.where(F.col("n") <= SMALL_NODE), threshold))
         large = sized.where(F.col("n") > SMALL_NODE).drop("n")
         if not counts.where(F.col("n") > SMALL_NODE).limit(1).count():
             break
+        if depth == DEEP:
+            deep = large.select("rep").distinct()
         if depth == MOST_LEVELS:
             stuck = large.select("node", "rep")
         else:
             level = large.join(sets.select("rep", "mins"), "rep")
+    return found, stuck, deep, depth
+
+
+def chosen_path_links(sets: DataFrame, threshold: float, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
+    """(a, b) edges that connect what links connect, and (rep, n_links), of distinct sets (rep, tokens, sketch, mins).
+
+    Where nodes branch beyond level DEEP, the sets that pass it get as many more trees as RECALL takes at the deepest level.
+    """
+    found, stuck, deep, depth = _trees(sets.withColumn("family", F.lit(None).cast("long")), threshold, 1, trees)
+    families = None if stuck is None else cut(_families(stuck))
+    if deep is not None:
+        some = sets.join(cut(deep), "rep", "left_semi")
+        some = cut(some.withColumn("family", F.lit(None).cast("long")) if families is None else some.join(families, "rep", "left"))
+        while (wanted := trees_for(depth, threshold, trees)) > trees:
+            more, also, _, reached = _trees(some, threshold, trees + 1, wanted)
+            found, trees, depth = found + more, wanted, max(depth, reached)
+            stuck = also if stuck is None else stuck if also is None else stuck.unionByName(also)
+        families = None if stuck is None else cut(_families(stuck))
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
     pairs = pairs.distinct()
-    if stuck is not None:
-        families = cut(_families(stuck))
+    if families is not None:
         of = lambda k: families.select(F.col("rep").alias(k), F.col("family").alias(f"f{k}"))
         pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("fa is null or fb is null or fa <> fb").select("a", "b")
     links = cut(verify(pairs, sets, threshold).select("a", "b"))
     ends = links.select(F.explode(F.array("a", "b")).alias("rep"), F.lit(1).cast("long").alias("n"))
-    if stuck is not None:
+    if families is not None:
         inner = cut(_family_links(families, sets, threshold))
         links = links.unionByName(inner.where("rep <> peer").select(F.col("rep").alias("a"), F.col("peer").alias("b")))
         ends = ends.unionByName(inner.select("rep", "n"))

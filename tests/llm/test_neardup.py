@@ -99,6 +99,38 @@ def test_links_of_nodes_that_never_split(spark, monkeypatch):
         assert (sum(counted.values()), counted) == (sum(wanted.values()), wanted)
 
 
+def test_trees_follow_the_depth():
+    """The number of trees that are run gives the stated recall at every level; a simulation agrees with the formula."""
+    rng = np.random.default_rng(3)
+    for levels in range(1, nd.MOST_LEVELS + 1):
+        assert nd.recall(levels, nd.trees_for(levels, 0.7), 0.7) >= nd.RECALL
+    assert nd.trees_for(nd.DEEP, 0.7) == nd.TREES < nd.trees_for(nd.DEEP + 1, 0.7)
+    lost = 0
+    for _ in range(2000):
+        agree = rng.binomial(nd.POSITIONS, 0.7) / nd.POSITIONS
+        together = np.ones(12, int)
+        for _ in range(10):
+            together = rng.binomial(together, agree) + rng.binomial(together, agree * (1 / 0.7 - 1))
+        lost += not together.any()
+    assert abs(lost / 2000 - (1 - nd.recall(10, 12, 0.7))) < 0.015
+
+
+def test_deep_sets_get_more_trees(spark, monkeypatch):
+    """Texts that branch beyond level DEEP are sent through as many trees as the deepest level takes."""
+    texts = [(i, " ".join([f"s{j}" for j in range(40)] + [f"t{i}x{j}" for j in range(14)])) for i in range(60)]
+    ran, trees = [], nd._trees
+
+    def noted(sets, threshold, first, last):
+        out = trees(sets, threshold, first, last)
+        ran.append((first, last, out[3]))
+        return out
+
+    monkeypatch.setattr(nd, "_trees", noted)
+    monkeypatch.setattr(nd, "MOST_LEVELS", 4)
+    assert found(spark, texts) == brute(texts, 0.7)
+    assert [r[:2] for r in ran] == [(1, 12), (13, nd.trees_for(4, 0.7))]
+
+
 def test_hot_copies(spark):
     df = spark.range(30_000).select(F.col("id").cast("int").alias("leaf"), F.when(F.col("id") % 3 == 0, F.lit("a b c d e f g h")).otherwise(F.concat_ws(" ", *(F.concat(F.lit(x), F.col("id").cast("string")) for x in "pqrstu"))).alias("t"))
     rows = nd.near_duplicate_groups(df, "leaf", "t", 0.7)
