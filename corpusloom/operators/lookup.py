@@ -116,11 +116,12 @@ def bucket_statistics(buckets: DataFrame) -> DataFrame:
     return per.groupBy("band").agg(F.count("*").alias("buckets"), F.sum("n").alias("rows"), F.max("n").alias("largest"))
 
 
-def best_minhash(signatures: DataFrame, queries: DataFrame, key: str, query: str, least_ppm: int = MINHASH_PPM, index: DataFrame | None = None) -> DataFrame:
+def best_minhash(signatures: DataFrame, queries: DataFrame, key: str, query: str, least_ppm: int = MINHASH_PPM, index: DataFrame | None = None, own: bool = True) -> DataFrame:
     """(query, key, ppm): of every query signature the most similar row at or above least_ppm, of equal ones the least key.
 
     Equal signatures are looked up once and found by their least key, so copies cost nothing; candidates agree in at least
     one band of the index, which holds at least the least key of every signature and without which it is built here.
+    own=False: queries are rows of the searched set, and none finds its own row; other rows of its signature count.
     """
     known = cut(signatures.groupBy("minhash").agg(F.min(key).alias(key)))
     index = index_buckets(known, key) if index is None else index
@@ -129,8 +130,17 @@ def best_minhash(signatures: DataFrame, queries: DataFrame, key: str, query: str
     pairs = asked.join(index, ["band", "bucket"]).select("_query", F.col(key).alias("_key")).distinct()
     x, y = groups.select("_query", F.col("minhash").alias("x")), known.select(F.col(key).alias("_key"), F.col("minhash").alias("y"))
     scored = pairs.join(x, "_query").join(y, "_key").select("_query", "_key", jaccard_ppm(F.col("x"), F.col("y")).alias("ppm")).where(F.col("ppm") >= least_ppm)
+    if not own:
+        scored = scored.where("ppm < 1000000")  # equal signatures are added below
     best = scored.groupBy("_query").agg(F.min(F.struct((-F.col("ppm")).alias("d"), F.col("_key").alias("k"))).alias("b"))
-    members = queries.join(groups, "minhash").select(F.col(query), "_query")
+    members = queries.join(groups, "minhash").select(F.col(query), "_query", "minhash")
+    if not own:
+        least = known.select("minhash", F.col(key).alias("_first"))
+        next_ = signatures.join(least, "minhash").where(F.col(key) > F.col("_first")).groupBy("minhash").agg(F.min(key).alias("_next"))
+        copy = F.when(F.col(query) == F.col("_first"), F.col("_next")).otherwise(F.col("_first"))
+        rows = members.join(best, "_query", "left").join(least, "minhash", "left").join(next_, "minhash", "left").withColumn("_copy", copy)
+        found = rows.select(query, F.coalesce("_copy", "b.k").alias(key), F.when(F.col("_copy").isNotNull(), -F.lit(1_000_000).cast(scored.schema["ppm"].dataType)).otherwise(F.col("b.d")).alias("d"))
+        return found.where(F.col("d").isNotNull()).select(query, key, (-F.col("d")).alias("ppm"))
     return members.join(best, "_query").select(query, F.col("b.k").alias(key), (-F.col("b.d")).alias("ppm"))
 
 

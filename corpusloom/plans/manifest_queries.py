@@ -194,10 +194,10 @@ def index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best match of every document whose id is divisible by 100 among all documents, its own first copy included."""
+    """The best match of every document whose id is divisible by 100 among all other documents."""
     rows = _signatures(spark, sf_dir)
     asked = rows.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "minhash")
-    return lk.best_minhash(rows, asked, "doc_id", "query_id")
+    return lk.best_minhash(rows, asked, "doc_id", "query_id", own=False)
 
 
 ROBOTS = "User-agent: GPTBot\nDisallow: /\nAllow: /del\n\nUser-agent: *\nDisallow: /ith\nDisallow: /var\nAllow: /vark\n"

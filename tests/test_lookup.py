@@ -67,6 +67,20 @@ def test_index_equals_exhaustive_search(spark):
     assert len(stats) == 32 and all(r.rows == 40 for r in stats)
 
 
+def test_own_row_is_no_match(spark):
+    """A query that stands in the searched set finds the best other row: a copy, else a near one, else none."""
+    words = [f"w{i}" for i in range(900)]
+    near = lambda i: " ".join(words[i : i + 199] + ["x"])
+    texts = [(1, " ".join(words[:200])), (2, near(0)), (3, " ".join(words[300:500])), (4, near(300)), (5, " ".join(words[300:500])), (6, " ".join(words[600:800]))]
+    df = with_sketches(spark.createDataFrame(texts, "id long, t string"), "t", "fast").select("id", "minhash")
+    found = {r.q: (r.id, r.ppm) for r in lk.best_minhash(df, df.withColumnRenamed("id", "q"), "id", "q", own=False).collect()}
+    signatures = {r.id: r.minhash for r in df.collect()}
+    same = lambda a, b: sum(x == y for x, y in zip(signatures[a], signatures[b], strict=True)) * 1_000_000 // 128
+    best = {a: max((same(a, b), -b) for b in signatures if b != a) for a in signatures}
+    assert found == {a: (-b, ppm) for a, (ppm, b) in best.items() if ppm >= lk.MINHASH_PPM}
+    assert found[3] == (5, 1_000_000) and found[1][0] == 2 and 6 not in found
+
+
 def test_iscc(spark):
     a, b = bytes(range(20)), bytes([0, 3, *range(2, 20)])
     df = spark.createDataFrame([(a, b)], "a binary, b binary")
