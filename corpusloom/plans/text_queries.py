@@ -59,6 +59,16 @@ def contamination_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.top_hits(_hits(spark, sf_dir, None)).select("benchmark", "item_id", "doc_id", "containment")
 
 
+def contamination_rates_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates by all three signals; contamination_rates has the two that its SQL can express."""
+    return c.contamination_rates(table(spark, sf_dir, "bench_item"), contamination_full(spark, sf_dir))
+
+
+def contamination_top_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hits of all three signals by containment, similarity and document."""
+    return c.top_hits(contamination_full(spark, sf_dir))
+
+
 def minhash_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_sketches(_normal(spark, sf_dir), "normal", "blake3", simhash=True).select("doc_id", "minhash", "simhash")
 
@@ -112,7 +122,7 @@ def secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        corpus_words, normalized_text_hash, shingle_counts, exact_dup_groups, contamination_hits, contamination_rates, contamination_full, contamination_top, minhash_signatures, document_digests,
+        corpus_words, normalized_text_hash, shingle_counts, exact_dup_groups, contamination_hits, contamination_rates, contamination_full, contamination_top, contamination_rates_full, contamination_top_full, minhash_signatures, document_digests,
         dedup_clusters, dedup_summary, dedup_histogram, dedup_largest, snippets, heading_kinds, article_passages, rendered_rows, secret_findings,
     )
 }

@@ -78,3 +78,27 @@ def test_same_rows_for_any_partitioning(spark):
         seen.append(sorted(map(tuple, d.dedup(docs, "id", "text", kernel="fast").collect())))
     spark.conf.set("spark.sql.shuffle.partitions", before)
     assert all(a == b for a, b in itertools.pairwise(seen))
+
+
+def test_full_rates_and_top(spark, tmp_path):
+    """An item flagged by the near signal alone counts; equal containments are ordered by similarity, not by document."""
+    from corpusloom.plans.text_queries import QUERIES
+
+    first, second = [f"a{i}" for i in range(14)], [f"b{i}" for i in range(20)]
+    docs = [(1, " ".join(second + [f"c{i}" for i in range(60)])), (2, " ".join(second)), (3, " ".join(first[:12]))]
+    docs += [(4, "quite another text than any of the items")]
+    items = [("x", "near", " ".join(first)), ("x", "whole", " ".join(second)), ("y", "clean", "six words that nobody ever wrote")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "benchmark string, item_id string, text string").write.parquet(str(tmp_path / "bench_item.parquet"))
+    runs = lambda x: {tuple(x.split()[i : i + 5]) for i in range(len(x.split()) - 4)}
+    jaccard = {(i, d): len(runs(x) & runs(y)) / len(runs(x) | runs(y)) for _, i, x in items for d, y in docs}
+    assert jaccard["near", 3] == 0.8 and jaccard["whole", 2] == 1
+    rates = {r.benchmark: r for r in QUERIES["contamination_rates_full"](spark, str(tmp_path)).collect()}
+    hits = {(r.item_id, r.doc_id): r for r in QUERIES["contamination_full"](spark, str(tmp_path)).collect()}
+    near = {k for k, r in hits.items() if r.near}
+    assert near == {("near", 3), ("whole", 2)} and not (hits["near", 3].exact or hits["near", 3].contained)
+    x, y = rates["x"], rates["y"]
+    assert (x.items_total, x.flagged_exact, x.flagged_near, x.flagged_contained, x.flagged_any, x.contamination_rate) == (2, 1, 2, 1, 2, 1.0)
+    assert (y.items_total, y.flagged_any, y.contamination_rate) == (1, 0, 0.0)
+    top = [(r.item_id, r.doc_id) for r in QUERIES["contamination_top_full"](spark, str(tmp_path)).collect()]
+    assert top == [("whole", 2), ("whole", 1), ("near", 3)]
