@@ -163,17 +163,45 @@ def best_bits(pairs: DataFrame, key: str, query: str) -> DataFrame:
 # --- the whole cascade ---------------------------------------------------------------------------------------------
 
 
-def prove(manifest: DataFrame, targets: DataFrame, signatures: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
-    """(target, outcome, matched_by, confidence, before, after) of targets (target, document_id, sha256[, minhash]).
+def near_codes(codes: DataFrame, asked: DataFrame, size: int, most: int = ISCC_THRESHOLD) -> DataFrame:
+    """(target) of asked (target, body) with a code body among codes (body) within `most` (at most 4) bits; other sizes never match."""
+    if most >= ISCC_BANDS:
+        raise ValueError("bands find all pairs of fewer differing bits than there are bands")
+    sized = F.octet_length("body") == size
+    x = asked.where(sized).select("target", F.col("body").alias("x"), F.explode(iscc_bands(F.col("body"), size)).alias("s")).select("target", "x", "s.*")
+    y = codes.where(sized).select("body").distinct().select(F.col("body").alias("y"), F.explode(iscc_bands(F.col("body"), size)).alias("s")).select("y", "s.*")
+    return x.join(y, ["band", "bucket"]).where(iscc_distance(F.col("x"), F.col("y"), size) <= most).select("target").distinct()
+
+
+def near_images(images: DataFrame, asked: DataFrame, most: int = PERCEPTUAL_THRESHOLD) -> DataFrame:
+    """(target) of asked (target, phash, blockhash) with an image (phash, blockhash) within `most` (at most 7) bits by either hash."""
+    if most > 7:
+        raise ValueError("eight bands find all pairs of up to seven differing bits")
+    banded = lambda df, *k: df.select(*k, "phash", "blockhash", F.explode(perceptual_bands(F.col("phash"), F.col("blockhash"))).alias("s")).select(*k, "phash", "blockhash", "s.*")
+    y = banded(images.select("phash", "blockhash").distinct()).withColumnsRenamed({"phash": "p", "blockhash": "b"})
+    nearest = F.least(hamming(F.col("phash"), F.col("p")), hamming(F.col("blockhash"), F.col("b")))
+    return banded(asked, "target").join(y, ["band", "bucket"]).where(nearest <= most).select("target").distinct()
+
+
+def prove(manifest: DataFrame, targets: DataFrame, signatures: DataFrame | None = None, index: DataFrame | None = None, codes: DataFrame | None = None, images: DataFrame | None = None, code_size: int = 32) -> DataFrame:
+    """(target, outcome, matched_by, confidence, before, after) of targets (target, document_id, sha256[, body][, phash,
+    blockhash][, minhash]).
 
-    outcome: included by the first stage that finds the target (document_id, sha256, then MinHash over signatures
-    (document_id, minhash)), ambiguous where a digest is held by several rows, else the adjacency case with the neighbours.
+    outcome: included by the first stage that finds the target (document_id, sha256, ISCC over codes (body), image hashes
+    over images (phash, blockhash), MinHash over signatures (document_id, minhash)), ambiguous where a digest is held by
+    several rows, else the adjacency case with the neighbours.
     """
     exact = exact_matches(manifest, targets.select("target", "document_id", "sha256"))
     found = exact.select("target", F.when(F.col("matches") > 1, "ambiguous").when(F.col("matches") == 1, "included").alias("o"), F.col("matched_by").alias("m"))
+    stages = []
+    if codes is not None:
+        stages.append(("iscc", lambda asked: near_codes(codes, asked.where("body is not null"), code_size)))
+    if images is not None:
+        stages.append(("perceptual", lambda asked: near_images(images, asked)))
     if signatures is not None:
-        open_ = targets.join(found.where("o is null").select("target"), "target", "left_semi").where("minhash is not null")
-        similar = best_minhash(signatures, open_.select("target", "minhash"), "document_id", "target", index=index).select("target", F.lit("minhash").alias("s"))
+        stages.append(("minhash", lambda asked: best_minhash(signatures, asked.where("minhash is not null").select("target", "minhash"), "document_id", "target", index=index)))
+    for stage, find in stages:
+        similar = find(targets.join(found.where("o is null").select("target"), "target", "left_semi")).select("target", F.lit(stage).alias("s"))
         found = found.join(similar, "target", "left").select("target", F.coalesce("o", F.when(F.col("s").isNotNull(), "included")).alias("o"), F.coalesce("m", "s").alias("m"))
     near = adjacent_leaves(manifest, targets)
     rows = targets.select("target", "document_id").join(found, "target").join(near, "document_id", "left")

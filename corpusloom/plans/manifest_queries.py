@@ -138,12 +138,27 @@ def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prove_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cascade for every document of the older version against the newer one."""
+    """The cascade by digests for every document of the older version against the newer one, as its SQL has it."""
     old, new = _both(spark, sf_dir)
     targets = old.groupBy("document_id").agg(F.min("sha256").alias("sha256")).select(t.hex_of(F.col("document_id")).alias("target"), "document_id", "sha256")
     return _hex(lk.prove(new, targets), "before", "after")
 
 
+def _text_signatures(spark: SparkSession, sf_dir: str, version: DataFrame) -> DataFrame:
+    """(document_id, minhash) of the entries whose source_url has a text in fineweb_row."""
+    texts = table(spark, sf_dir, "fineweb_row").where("id is not null and text is not null").groupBy(F.col("id").alias("source_url")).agg(F.min("text").alias("text"))
+    held = version.select("document_id", "source_url").join(texts, "source_url").groupBy("document_id").agg(F.min("text").alias("text"))
+    return signatures(held, "document_id", "text", "fast").select(F.col("key").alias("document_id"), "minhash")
+
+
+def prove_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cascade of prove_targets with MinHash over the texts that exist; there are no code bodies and image hashes to ask for."""
+    old, new = _both(spark, sf_dir)
+    targets = old.groupBy("document_id").agg(F.min("sha256").alias("sha256")).join(_text_signatures(spark, sf_dir, old), "document_id", "left")
+    targets = targets.select(t.hex_of(F.col("document_id")).alias("target"), "document_id", "sha256", "minhash")
+    return _hex(lk.prove(new, targets, _text_signatures(spark, sf_dir, new)), "before", "after")
+
+
 def removal_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _both(spark, sf_dir)
     return _hex(lk.removal_evidence(old, new, table(spark, sf_dir, "manifest_entry")), "document_id")
@@ -250,7 +265,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         seal_manifest, occurrence_audit, compose_manifest, compose_coverage, manifest_totals, inspect_manifest, version_summary, version_histogram, diff_status, diff_counts, diff_examples, composition_shift,
-        added_ids, common_ids, signal_coverage, license_inventory, shard_plan, merge_ranked, merkle_root, audit_paths, membership_exact, adjacency, prove_targets, removal_evidence, chain_walk, mime_modality,
+        added_ids, common_ids, signal_coverage, license_inventory, shard_plan, merge_ranked, merkle_root, audit_paths, membership_exact, adjacency, prove_targets, prove_texts, removal_evidence, chain_walk, mime_modality,
         extension_modality, size_categories, hamming_neighbours, index_statistics, fuzzy_lookup, signal_verdicts, ruleset_decisions, consent_files,
     )
 }

@@ -99,6 +99,20 @@ def test_prove(spark):
     assert found == {"a": ("included", "blake3", 1.0), "b": ("included", "sha256", 1.0), "c": ("ambiguous", "blake3", None), "d": ("interior", None, None), "e": ("after_last", None, None), "near": ("included", "minhash", 0.8)}
 
 
+def test_prove_codes_and_images(spark):
+    """Targets within the thresholds are found by code body and by either image hash, those beyond by neither."""
+    flip = lambda body, n: bytes(x ^ (1 << 3 if i % 7 == 0 and i // 7 < n else 0) for i, x in enumerate(body))
+    body, h = bytes(range(100, 132)), 0x0123456789ABCDEF
+    schema = "target string, document_id binary, sha256 binary, body binary, phash long, blockhash long"
+    asked = [("c4", flip(body, 4), None, None), ("c5", flip(body, 5), None, None), ("p6", None, h ^ 0b111111, ~h), ("b6", None, ~h, h ^ (0b111111 << 20)), ("p7", None, h ^ 0b1111111, ~h), ("both", body, h, h), ("none", None, None, None)]
+    targets = spark.createDataFrame([(n, key(50 + i), key(0), *x) for i, (n, *x) in enumerate(asked)], schema)
+    manifest = spark.createDataFrame([(key(10), key(110)), (key(90), key(120))], "document_id binary, sha256 binary")
+    codes, images = spark.createDataFrame([(body,), (body[:8],)], "body binary"), spark.createDataFrame([(h, h)], "phash long, blockhash long")
+    found = {r.target: (r.outcome, r.matched_by, r.confidence) for r in lk.prove(manifest, targets, codes=codes, images=images).collect()}
+    code, image, miss = ("included", "iscc", 0.95), ("included", "perceptual", 0.85), ("interior", None, None)
+    assert found == {"c4": code, "c5": miss, "p6": image, "b6": image, "p7": miss, "both": code, "none": miss}
+
+
 def test_stored_index(spark, tmp_path):
     from corpusloom.sources.readers import read_index, write_index
 
