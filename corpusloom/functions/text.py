@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from pyspark.sql import types as T
 
 # The Unicode White_Space class, spelled out as Java's \s is ASCII only.
 WHITE_SPACE = "[\\t\\n\\x0B\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
+WHITE_SPACE_POINTS = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 RUN_WORDS, EXACT_WORDS, SNIPPET_CHARS = 5, 13, 120
 
 
@@ -32,6 +35,19 @@ def normalize_text(text: Column, compose: bool = True) -> Column:
     return F.trim(F.regexp_replace(F.lower(nfc(text) if compose else text), WHITE_SPACE, " "))
 
 
+def normal_form(text: str) -> str:
+    """What normalize_text makes of a text, but for the white space between and around its words."""
+    return (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
+
+
+@functools.cache
+def word_points() -> np.ndarray:
+    """Which code points stand in words: all but white space."""
+    kinds = np.ones(0x110000, bool)
+    kinds[WHITE_SPACE_POINTS] = False
+    return kinds
+
+
 def words(normal: Column) -> Column:
     """Words of a normalised text; none for an empty one."""
     return F.filter(F.split(normal, " "), lambda w: w != "")

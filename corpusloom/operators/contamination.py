@@ -2,36 +2,75 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.blake3 import LABEL, with_sketches
-from corpusloom.functions.text import EXACT_WORDS, RUN_WORDS, normalize_text, round6, share, snippet, word_runs, words
+from corpusloom.functions.runs import first_of_each, in_slices, run_hashes, run_starts, word_hashes
+from corpusloom.functions.text import EXACT_WORDS, RUN_WORDS, normal_form, normalize_text, round6, share, snippet, word_points, word_runs, words
 from corpusloom.operators.dedup import jaccard_estimate
-from corpusloom.session import cut
+from corpusloom.session import counted, cut
 
 CONTAINED, NEAR, MOST_HITS = 0.9, 0.8, 10
-#: Largest text of the items for which their runs, about twenty times as large, are broadcast; above it they are shuffled.
-BROADCAST_BYTES = 1_000_000
+#: Bits of the filter for each run of the items, and of the whole filter at most (128 MB, whatever the items).
+BITS_PER_RUN, MOST_BITS = 64, 1 << 30
 
 
 def _normal(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, normalize_text(F.coalesce("text", F.lit(""))).alias("normal"))
 
 
-def _runs(normal: DataFrame, *keys: str) -> DataFrame:
-    """(keys, n, run): distinct runs of 13 and of 5 words, from one pass over the text."""
-    rows = normal.select(*keys, words(F.col("normal")).alias("w"))
-    sized = [F.struct(F.lit(n).alias("n"), word_runs(F.col("w"), n).alias("runs")) for n in (EXACT_WORDS, RUN_WORDS)]
-    return rows.select(*keys, F.explode(F.array(*sized)).alias("s")).select(*keys, "s.n", F.explode("s.runs").alias("run"))
-
-
-def shared_runs(docs: DataFrame, items: DataFrame, broadcast: bool) -> DataFrame:
+def _runs(df: DataFrame, key: str, within: np.ndarray | None = None) -> DataFrame:
+    """(key, n, run, also): both 64-bit hashes of the distinct runs of 13 and of 5 words of (key, text), of those only that
+    the bits of `within` let pass."""
+    kind = df.schema[key].dataType.simpleString()
+    shared = None if within is None else df.sparkSession.sparkContext.broadcast(within)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches):
+            owner, hashes = word_hashes([t or "" for t in batch.column(1).to_pylist()], normal_form, word_points())
+            for n in (EXACT_WORDS, RUN_WORDS):
+                at = run_starts(owner, n)
+                found = run_hashes(hashes, at, n)
+                if shared is not None:
+                    place = found & np.uint64(64 * len(shared.value) - 1)
+                    passes = (shared.value[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+                    at, found = at[passes], found[passes]
+                some = first_of_each(owner[at], found)
+                at, found = at[some], found[some]
+                columns = [batch.column(0).take(pa.array(owner[at])), pa.array(np.full(len(at), n, np.int32)), pa.array(found.view(np.int64)), pa.array(run_hashes(hashes, at, n, True).view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "n", "run", "also"])
+
+    return df.select(key, "text").mapInArrow(run, f"`{key}` {kind}, n int, run long, also long")
+
+
+def _filter(index: DataFrame) -> np.ndarray:
+    """Words of a bitmap in which the low bits of every run's hash are set; its size is bounded whatever the index."""
+    runs = index.count()
+    bits = 1 << min(MOST_BITS.bit_length() - 1, max(12, (BITS_PER_RUN * runs - 1).bit_length()))
+    place = F.col("run").bitwiseAND(F.lit(bits - 1))
+    set_ = index.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toPandas()
+    out = np.zeros(bits >> 6, np.int64)
+    out[set_["word"].to_numpy(np.int64)] = set_["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def shared_runs(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(benchmark, item_id, doc_id, shared_exact, shared_part): distinct runs of 13 and of 5 words that a document and an
-    item share, by an inverted index of the items; where it is broadcast only pairs are shuffled."""
-    index = _runs(items, "benchmark", "item_id")
-    joined = _runs(docs, "doc_id").join(F.broadcast(index) if broadcast else index, ["n", "run"])
-    return joined.groupBy("benchmark", "item_id", "doc_id").agg(F.count_if(F.col("n") == EXACT_WORDS).alias("shared_exact"), F.count_if(F.col("n") == RUN_WORDS).alias("shared_part"))
+    item share, by an inverted index of the items.
+
+    Runs are compared by 128 bits of hash.  A bitmap of the items' runs, of bounded size, goes to all executors, and of the
+    documents only the runs that it lets pass, hence mostly shared ones, are ever shuffled.
+    """
+    numbered = F.to_json(F.struct("benchmark", "item_id"))
+    index = cut(_runs(items.select(numbered.alias("item"), F.coalesce("text", F.lit("")).alias("text")).distinct(), "item").distinct())
+    found = _runs(docs.select("doc_id", "text"), "doc_id", _filter(index)).join(counted(index), ["n", "run", "also"])
+    pairs = found.groupBy("item", "doc_id").agg(F.count_if(F.col("n") == EXACT_WORDS).alias("shared_exact"), F.count_if(F.col("n") == RUN_WORDS).alias("shared_part"))
+    return pairs.select(F.from_json("item", "benchmark string, item_id string").alias("item"), "doc_id", "shared_exact", "shared_part").select("item.*", "doc_id", "shared_exact", "shared_part")
 
 
 def contamination(docs: DataFrame, items: DataFrame, near: float | None = NEAR, kernel: str = "blake3", label: bytes = LABEL) -> DataFrame:
@@ -42,12 +81,12 @@ def contamination(docs: DataFrame, items: DataFrame, near: float | None = NEAR,
     similarity of at least `near`, which is looked at only where a 5-word run is shared (near=None skips it: 0 and false).
     Flags use unrounded values.  Null texts count as empty, items of under five words are never flagged.
     """
-    small = int(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= BROADCAST_BYTES
+    texts = items
     items = cut(_normal(items, "benchmark", "item_id").distinct())
     keys = ["benchmark", "item_id", "doc_id"]
     facts = items.select("benchmark", "item_id", "normal", words(F.col("normal")).alias("w"))
     facts = facts.select("benchmark", "item_id", snippet(F.col("normal")).alias("item_snippet"), F.size(word_runs(F.col("w"), RUN_WORDS)).alias("item_runs"))
-    pairs = shared_runs(_normal(docs, "doc_id"), items, small).join(facts, ["benchmark", "item_id"])
+    pairs = shared_runs(docs, texts).join(facts, ["benchmark", "item_id"])
     pairs = pairs.withColumn("c", F.when(F.col("item_runs") > 0, F.col("shared_part") / F.col("item_runs")).otherwise(0.0))
     if near is None:
         pairs = pairs.withColumn("j", F.lit(0.0))
@@ -55,7 +94,7 @@ def contamination(docs: DataFrame, items: DataFrame, near: float | None = NEAR,
         pairs = cut(pairs)
         wanted = pairs.where("shared_part > 0")
         of = lambda df, *k: with_sketches(df.select(*k, "normal"), "normal", kernel, label).select(*k, "minhash")
-        asked = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")  # before any text is normalised
+        asked = docs.select("doc_id", "text").join(counted(wanted.select("doc_id").distinct()), "doc_id", "left_semi")  # before any text is normalised
         x = of(_normal(asked, "doc_id"), "doc_id").withColumnRenamed("minhash", "x")
         y = of(items, "benchmark", "item_id").withColumnRenamed("minhash", "y")
         j = wanted.select(*keys).join(x, "doc_id").join(y, ["benchmark", "item_id"]).select(*keys, jaccard_estimate(F.col("x"), F.col("y")).alias("j"))

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = 8, partitions: int | None = None, app: str = "corpusloom") -> SparkSession:
@@ -43,6 +44,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of numbers and short keys, some tens of MB at most, up to which a side that was counted is broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def counted(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A checkpointed side of a join, broadcast if it was counted to be small; a larger one is shuffled."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A scan of fewer partitions than there are cores, hence of a few small files, dealt out to all cores; larger ones stay."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
