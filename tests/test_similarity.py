@@ -5,6 +5,7 @@ import pytest
 
 from corpusloom.operators import contamination as c
 from corpusloom.operators import dedup as d
+from corpusloom.operators import pairs
 from corpusloom.operators.components import connected_components
 
 NEAR = [f"w{i}" for i in range(120)]
@@ -102,3 +103,13 @@ def test_full_rates_and_top(spark, tmp_path):
     assert (y.items_total, y.flagged_any, y.contamination_rate) == (1, 0, 0.0)
     top = [(r.item_id, r.doc_id) for r in QUERIES["contamination_top_full"](spark, str(tmp_path)).collect()]
     assert top == [("whole", 2), ("whole", 1), ("near", 3)]
+
+
+def test_pairs_within(spark):
+    rows = [("hot", i) for i in range(90)] + [("two", 1), ("two", 2), ("one", 7)]
+    members = spark.createDataFrame(rows, "g string, k long").withColumn("x", pairs.F.col("k") % 3)
+    wanted = {(g, a, b, a % 3, b % 3) for g, a in rows for h, b in rows if g == h and a < b}
+    for size in (1000, 20):
+        found = [tuple(r) for r in pairs.pairs_within(members, "g", "k", ("x",), size).select("g", "k_a", "k_b", "x_a", "x_b").collect()]
+        assert len(found) == len(wanted) and set(found) == wanted
+    assert pairs.pairs_within(members.where("false"), "g", "k").count() == 0
