@@ -9,14 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.visible import skeleton
+from corpusloom.functions.runs import in_slices
+from corpusloom.llm.visible import skeletons
+from corpusloom.operators.pairs import pairs_within
+from corpusloom.session import cut
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_slices(batches):
         keys, forms, stored = [], [], []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            form = skeleton(text)
+        texts = batch.column(1).to_pylist()
+        for key, text, form in zip(batch.column(0).to_pylist(), texts, skeletons(texts), strict=True):
             if form and not form.isspace():
                 keys.append(key)
                 forms.append(hashlib.blake2b(form.encode("utf-8", "surrogatepass"), digest_size=16).digest())
@@ -37,25 +40,34 @@ def alike_members(df: DataFrame, key: str, text: str) -> DataFrame:
     """Members of every class of texts that look alike but are stored in two or more ways: (key, form, stored).
 
     Classes are kept as digests with their members, so a class that holds a third of all rows costs a row per member; the
-    test for two spellings is a min/max that combines before the shuffle.
+    test for two spellings is a min/max that combines before the shuffle.  The texts are read once.
     """
-    digests = visible_digests(df, key, text)
+    digests = cut(visible_digests(df, key, text))
     mixed = digests.groupBy("form").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).where("lo <> hi").select("form")
     return digests.join(mixed, "form", "left_semi").select("key", "form", "stored")
 
 
 def alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """Every pair of keys, key_a < key_b bytewise, with the same visible form but different stored text."""
-    members = alike_members(df, key, text)
-    a = members.select("form", F.col("key").alias("key_a"), F.col("stored").alias("stored_a"))
-    b = members.select("form", F.col("key").alias("key_b"), F.col("stored").alias("stored_b"))
-    return a.join(b, "form").where("key_a < key_b and stored_a <> stored_b").select("key_a", "key_b").distinct()
+    pairs = pairs_within(cut(alike_members(df, key, text)), "form", "key", ("stored",))
+    return pairs.where("stored_a <> stored_b").select("key_a", "key_b").distinct()
+
+
+def alike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, class_id, n_links): of each row of a class of look-alikes the class's least key and the number of rows that look
+    like it but are stored otherwise; a key with several texts counts once for each of them."""
+    members = cut(alike_members(df, key, text))
+    classes = members.groupBy("form").agg(F.min("key").alias("class_id"), F.count("*").alias("rows"))
+    same = members.groupBy("form", "stored").agg(F.count("*").alias("same"))
+    out = members.join(same, ["form", "stored"]).join(classes, "form")
+    return out.select("key", "class_id", (F.col("rows") - F.col("same")).alias("n_links"))
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column(1)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if t is None else skeleton(t) for t in texts.to_pylist()], pa.string())], names=["key", "visible"])
+    for batch in in_slices(batches):
+        texts = batch.column(1).to_pylist()
+        forms = skeletons([t or "" for t in texts])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if t is None else f for t, f in zip(texts, forms, strict=True)], pa.string())], names=["key", "visible"])
 
 
 def visible_texts(df: DataFrame, key: str, text: str) -> DataFrame:

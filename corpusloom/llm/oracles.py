@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-from corpusloom.llm.visible import replacements
+from corpusloom.llm.visible import ALL, LATIN_ONLY, SHORT, replacements
 
-TRANSLATED = [(a, b) for a, b in replacements().items() if (ord(a) < 0x3100 or ord(a) >= 0xF900) and ord(a) < 0x10000 and len(b) <= 1 and a != "'"]
 SPELLED_OUT = ("ﬁ", "ﬂ", "…")
 
 
-def _visible(column: str) -> str:
+def _visible(column: str, scope: str = ALL) -> str:
     """Characters without a counterpart in the second list are removed."""
-    kept, gone = [x for x in TRANSLATED if x[1]], [x for x in TRANSLATED if not x[1]]
+    translated = [(a, b) for a, b in replacements(scope).items() if (ord(a) < 0x3100 or ord(a) >= 0xF900) and ord(a) < 0x10000 and len(b) <= 1 and a != "'"]
+    kept, gone = [x for x in translated if x[1]], [x for x in translated if not x[1]]
     quoted = lambda chars: "'" + "".join(chars).replace("'", "''") + "'"
     text = f"replace(replace({column}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
     for ch in SPELLED_OUT:
-        text = f"replace({text}, '{ch}', '{replacements()[ch]}')"
+        text = f"replace({text}, '{ch}', '{replacements(scope)[ch]}')"
     return f"nfc_normalize(translate(nfc_normalize({text}), {quoted([a for a, _ in kept + gone])}, {quoted([b for _, b in kept])}))"
 
 
 def _words(column: str) -> str:
-    return f"regexp_extract_all(lower({_visible(column)}), '[\\p{{L}}\\p{{N}}]+')"
+    return f"regexp_extract_all(lower({_visible(column, LATIN_ONLY)}), '[\\p{{L}}\\p{{N}}]+')"
 
 
 def _runs(source: str, keys: str, n: int) -> str:
@@ -34,6 +34,11 @@ ORACLES = {
     "p1_found": f"""
 WITH f AS ({_forms("leaf", "passage_id", "snippet")} UNION ALL {_forms("fineweb_row", "id", "text")})
 SELECT DISTINCT a.src, a.k AS key_a, b.k AS key_b FROM f a JOIN f b ON a.src = b.src AND a.v = b.v AND a.k < b.k AND a.t <> b.t WHERE trim(a.v) <> ''""",
+    "p1_classes": f"""
+WITH f AS ({_forms("leaf", "passage_id", "snippet")} UNION ALL {_forms("fineweb_row", "id", "text")}),
+c AS (SELECT src, v, min(k) AS class_id, count(*) AS n FROM f WHERE trim(v) <> '' GROUP BY ALL HAVING count(DISTINCT t) > 1),
+s AS (SELECT src, v, t, count(*) AS same FROM f GROUP BY ALL)
+SELECT src, f.k AS key, class_id, n - same AS n_links FROM f JOIN c USING (src, v) JOIN s USING (src, v, t)""",
     "p2_found": f"""
 WITH RECURSIVE l AS (SELECT DISTINCT leaf_row, {_words("snippet")} AS w FROM leaf WHERE leaf_row IS NOT NULL AND snippet IS NOT NULL),
 r AS ({_runs("l", "leaf_row", 5)}), n AS (SELECT leaf_row, count(*) AS n FROM r GROUP BY 1),

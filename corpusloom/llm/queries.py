@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.alike import alike_members, alike_pairs
+from corpusloom.llm.alike import alike_classes, alike_pairs
 from corpusloom.llm.language import fit_word_model, is_mixed, label_language, text_languages
 from corpusloom.llm.leak import leaked_items
 from corpusloom.llm.mixture import mix_to_targets, mixture_shares
@@ -29,8 +29,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, form, key, stored): each row of a class of look-alike texts with the digest of its class."""
-    parts = [alike_members(table(spark, sf_dir, name), key, text).select(F.lit(name).alias("src"), F.hex("form").alias("form"), "key", F.hex("stored").alias("stored")) for name, key, text in TEXTS]
+    """(src, key, class_id, n_links): each row of a class of look-alike texts, with the number of rows stored otherwise."""
+    parts = [alike_classes(table(spark, sf_dir, name), key, text).select(F.lit(name).alias("src"), "key", "class_id", "n_links") for name, key, text in TEXTS]
     return reduce(DataFrame.unionByName, parts)
 
 
