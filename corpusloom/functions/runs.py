@@ -70,8 +70,7 @@ def _pieces(cp: np.ndarray, inside: np.ndarray) -> list[tuple[int, int]]:
 def word_hashes(texts: Sequence[str], change: Callable[[str], str], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of every word of the changed texts, in order.
 
-    change is applied to many texts as one string with separators between them; kinds tells which code points are in words
-    (the separator never is).  Equal words have equal hashes.
+    kinds tells which code points are in words (the separator never is).  Equal words have equal hashes.
     """
     owners, hashes = [], []
     first = 0
@@ -80,10 +79,7 @@ def word_hashes(texts: Sequence[str], change: Callable[[str], str], kinds: np.nd
         while last < len(texts) and (last == first or size + len(texts[last]) <= PIECE):
             size += len(texts[last]) + 1
             last += 1
-        joined = change(SEPARATOR.join(texts[first:last]))
-        if joined.count(SEPARATOR) != last - first - 1:  # a text holds the separator
-            parts = [change(t).replace(SEPARATOR, "\1") for t in texts[first:last]]
-            joined = SEPARATOR.join(parts)
+        joined = SEPARATOR.join([changed.replace(SEPARATOR, "\1") if SEPARATOR in (changed := change(t)) else changed for t in texts[first:last]])
         cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         inside = kinds[cp]
         inside[cp == 0] = False
