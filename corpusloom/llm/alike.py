@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.runs import in_slices
-from corpusloom.llm.visible import skeletons
+from corpusloom.llm.visible import skeleton
 from corpusloom.operators.pairs import pairs_within
 from corpusloom.session import cut
 
@@ -18,8 +18,8 @@ from corpusloom.session import cut
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in in_slices(batches):
         keys, forms, stored = [], [], []
-        texts = batch.column(1).to_pylist()
-        for key, text, form in zip(batch.column(0).to_pylist(), texts, skeletons(texts), strict=True):
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            form = skeleton(text)
             if form and not form.isspace():
                 keys.append(key)
                 forms.append(hashlib.blake2b(form.encode("utf-8", "surrogatepass"), digest_size=16).digest())
@@ -65,9 +65,7 @@ def alike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in in_slices(batches):
-        texts = batch.column(1).to_pylist()
-        forms = skeletons([t or "" for t in texts])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if t is None else f for t, f in zip(texts, forms, strict=True)], pa.string())], names=["key", "visible"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if t is None else skeleton(t) for t in batch.column(1).to_pylist()], pa.string())], names=["key", "visible"])
 
 
 def visible_texts(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -17,7 +17,6 @@ import struct
 import unicodedata
 import zipfile
 from collections import defaultdict
-from collections.abc import Sequence
 
 import numpy as np
 
@@ -34,7 +33,6 @@ ALIKE = ("<wide>", "<narrow>", "<noBreak>", "<compat>", "<font>", "<initial>", "
 IGNORABLE = [(0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0xFE00, 0xFE0F), (0xE0000, 0xE0FFF)]
 #: Name of the confusables data within an ICU library.
 CONFUSABLES = "com/ibm/icu/impl/data/icudata/confusables.cfu"
-SEPARATOR = "\0"
 #: Combining class of strokes through a letter.
 OVERLAY = 1
 
@@ -165,10 +163,6 @@ def _special(scope: str) -> tuple[frozenset[str], dict[int, str]]:
     return frozenset(found), {ord(a): b for a, b in found.items()}
 
 
-#: Distinct characters to replace above which one pass over the text replaces them all.
-ONE_PASS = 12
-
-
 def _form(text: str, scope: str) -> str:
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
@@ -178,9 +172,7 @@ def _form(text: str, scope: str) -> str:
     known, table = _special(scope)
     held = set(text)
     special = known.intersection(held)
-    if len(special) > ONE_PASS:
-        text = unicodedata.normalize("NFC", text.translate(table))
-    elif special:
+    if special:
         for ch in special:
             text = text.replace(ch, table[ord(ch)])
         text = unicodedata.normalize("NFC", text)
@@ -205,14 +197,6 @@ def plain_form(text: str) -> str:
     return _form(text, SHORT)
 
 
-def skeletons(texts: Sequence[str]) -> list[str]:
-    """The visible forms of many texts, made of all of them as one string."""
-    joined = skeleton(SEPARATOR.join(texts))
-    if joined.count(SEPARATOR) != len(texts) - 1:  # a text holds the separator
-        return [skeleton(t) for t in texts]
-    return joined.split(SEPARATOR)
-
-
 WORD = re.compile(r"[^\W_]+")
 
 

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 
 from corpusloom.functions.runs import word_hashes
 from corpusloom.llm.alike import alike_classes, alike_members, alike_pairs, visible_texts
-from corpusloom.llm.visible import WORD, LATIN_ONLY, look_alikes, prototypes, replacements, skeleton, skeletons, word_form, word_points, words
+from corpusloom.llm.visible import WORD, LATIN_ONLY, look_alikes, prototypes, replacements, skeleton, word_form, word_points, words
 
 
 @pytest.mark.parametrize(
@@ -44,12 +44,6 @@ def test_equals_the_definition(text):
     assert skeleton(text) == unicodedata.normalize("NFC", plain)
 
 
-@settings(deadline=None)
-@given(st.lists(st.text(max_size=20), min_size=1, max_size=8))
-def test_many_at_once(texts):
-    assert skeletons(texts) == [skeleton(t) for t in texts]
-
-
 @settings(deadline=None)
 @given(st.lists(st.text(max_size=30), max_size=6))
 def test_word_arrays(texts):
