@@ -18,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.visible import words
+from corpusloom.functions.runs import first_of_each, in_slices, runs_of, word_hashes
+from corpusloom.llm.visible import word_form, word_points
 from corpusloom.operators.components import connected_components
 from corpusloom.session import cut
 
@@ -45,11 +45,8 @@ _A, _B = _SEEDS[0] * np.uint64(2) + np.uint64(1), _SEEDS[1]
 
 def run_hashes(text: str, n: int = RUN) -> np.ndarray:
     """Distinct 64-bit hashes of the n-word runs of the visible form, ascending; fewer than n words give none."""
-    w = words(text)
-    if len(w) < n:
-        return np.zeros(0, np.uint64)
-    hashed = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((hashed(" ".join(w[i : i + n])) for i in range(len(w) - n + 1)), np.uint64, len(w) - n + 1))
+    owner, hashes = word_hashes([text], word_form, word_points())
+    return np.unique(runs_of(owner, hashes, n)[1])
 
 
 def minwise(tokens: np.ndarray) -> np.ndarray:
@@ -69,15 +66,16 @@ def _digest(tokens: np.ndarray) -> bytes:
 
 def _sets(with_tokens: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, digests, tokens = [], [], []
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if len(found := run_hashes(text)):
-                    rows.append(row)
-                    digests.append(_digest(found))
-                    if with_tokens:
-                        tokens.append(found.view(np.int64))
-            columns = [pa.array(rows, pa.int64()), pa.array(digests, pa.binary())] + [pa.array(tokens, pa.list_(pa.int64()))] * with_tokens
+        for batch in in_slices(batches):
+            owner, hashes = word_hashes(batch.column(1).to_pylist(), word_form, word_points())
+            at, tokens = runs_of(owner, hashes, RUN)
+            some = first_of_each(owner[at], tokens)
+            owner, tokens = owner[at][some], tokens[some]
+            rows, starts = np.unique(owner, return_index=True)
+            bounds = np.append(starts, len(tokens))
+            columns = [batch.column(0).take(pa.array(rows)), pa.array([_digest(tokens[a:z]) for a, z in itertools.pairwise(bounds.tolist())], pa.binary())]
+            if with_tokens:
+                columns.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(tokens.view(np.int64))))
             yield pa.RecordBatch.from_arrays(columns, names=["row", "digest", "tokens"][: len(columns)])
 
     return run

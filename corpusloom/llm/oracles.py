@@ -46,6 +46,16 @@ s AS (SELECT a.leaf_row AS a, b.leaf_row AS b, count(*) AS shared FROM r a JOIN
 e AS (SELECT a, b FROM s JOIN n x ON x.leaf_row = a JOIN n y ON y.leaf_row = b WHERE shared >= 0.7 * (x.n + y.n - shared)),
 g AS (SELECT a, b FROM e UNION SELECT g.a, e.b FROM g JOIN e ON g.b = e.a)
 SELECT DISTINCT a AS row_a, b AS row_b FROM g WHERE a < b""",
+    "p2_groups": f"""
+WITH RECURSIVE l AS (SELECT DISTINCT leaf_row, {_words("snippet")} AS w FROM leaf WHERE leaf_row IS NOT NULL AND snippet IS NOT NULL),
+r AS ({_runs("l", "leaf_row", 5)}), m AS (SELECT leaf_row, md5(string_agg(run, '|' ORDER BY run)) AS k FROM r GROUP BY 1),
+t AS (SELECT DISTINCT k, run FROM m JOIN r USING (leaf_row)), n AS (SELECT k, count(*) AS n FROM t GROUP BY 1),
+s AS (SELECT a.k AS a, b.k AS b, count(*) AS shared FROM t a JOIN t b USING (run) WHERE a.k <> b.k GROUP BY ALL),
+e AS (SELECT a, b FROM s JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE shared >= 0.7 * (x.n + y.n - shared)),
+g AS (SELECT k AS a, k AS b FROM n UNION SELECT g.a, e.b FROM g JOIN e ON g.b = e.a),
+c AS (SELECT a AS k, min(leaf_row) AS class_id FROM g JOIN m ON m.k = g.b GROUP BY 1), d AS (SELECT a AS k, count(*) AS n_links FROM e GROUP BY 1)
+SELECT leaf_row, class_id, coalesce(n_links, 0)::BIGINT AS n_links FROM m JOIN c USING (k) LEFT JOIN d USING (k)
+QUALIFY count(*) OVER (PARTITION BY class_id) > 1""",
     "p5_found": f"""
 WITH d AS (SELECT doc_id, {_words("text")} AS w FROM documents WHERE text IS NOT NULL),
 b AS (SELECT DISTINCT benchmark, item_id, {_words("text")} AS w FROM bench_item WHERE text IS NOT NULL),

@@ -14,6 +14,7 @@ from corpusloom.llm.mixture import mix_to_targets, mixture_shares
 from corpusloom.llm.neardup import near_duplicate_groups
 from corpusloom.llm.quality import text_quality
 from corpusloom.llm.tokenize import token_counts, token_ids
+from corpusloom.operators.pairs import pairs_within
 from corpusloom.session import cut, spread, table
 
 TEXTS = (("leaf", "passage_id", "snippet"), ("fineweb_row", "id", "text"))
@@ -41,8 +42,7 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = cut(near_duplicate_groups(table(spark, sf_dir, "leaf"), "leaf_row", "snippet", 0.7).select("row", "class_id").distinct())
-    a, b = (groups.select("class_id", F.col("row").alias(name)) for name in ("row_a", "row_b"))
-    return a.join(b, "class_id").where("row_a < row_b").select("row_a", "row_b").distinct()
+    return pairs_within(groups, "class_id", "row").select("row_a", "row_b").distinct()
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
