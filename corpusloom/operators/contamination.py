@@ -13,11 +13,10 @@ from corpusloom.functions.blake3 import LABEL, with_sketches
 from corpusloom.functions.runs import first_of_each, in_slices, run_hashes, run_starts, word_hashes
 from corpusloom.functions.text import EXACT_WORDS, RUN_WORDS, normal_form, normalize_text, round6, share, snippet, word_points, word_runs, words
 from corpusloom.operators.dedup import jaccard_estimate
+from corpusloom.operators.run_filter import bitmap, may_hold
 from corpusloom.session import counted, cut
 
 CONTAINED, NEAR, MOST_HITS = 0.9, 0.8, 10
-#: Bits of the filter for each run of the items, and of the whole filter at most (128 MB, whatever the items).
-BITS_PER_RUN, MOST_BITS = 64, 1 << 30
 
 
 def _normal(df: DataFrame, *keys: str) -> DataFrame:
@@ -37,8 +36,7 @@ def _runs(df: DataFrame, key: str, within: np.ndarray | None = None) -> DataFram
                 at = run_starts(owner, n)
                 found = run_hashes(hashes, at, n)
                 if shared is not None:
-                    place = found & np.uint64(64 * len(shared.value) - 1)
-                    passes = (shared.value[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+                    passes = may_hold(shared.value, found)
                     at, found = at[passes], found[passes]
                 some = first_of_each(owner[at], found)
                 at, found = at[some], found[some]
@@ -48,17 +46,6 @@ def _runs(df: DataFrame, key: str, within: np.ndarray | None = None) -> DataFram
     return df.select(key, "text").mapInArrow(run, f"`{key}` {kind}, n int, run long, also long")
 
 
-def _filter(index: DataFrame) -> np.ndarray:
-    """Words of a bitmap in which the low bits of every run's hash are set; its size is bounded whatever the index."""
-    runs = index.count()
-    bits = 1 << min(MOST_BITS.bit_length() - 1, max(12, (BITS_PER_RUN * runs - 1).bit_length()))
-    place = F.col("run").bitwiseAND(F.lit(bits - 1))
-    set_ = index.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toPandas()
-    out = np.zeros(bits >> 6, np.int64)
-    out[set_["word"].to_numpy(np.int64)] = set_["bits"].to_numpy(np.int64)
-    return out.view(np.uint64)
-
-
 def shared_runs(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(benchmark, item_id, doc_id, shared_exact, shared_part): distinct runs of 13 and of 5 words that a document and an
     item share, by an inverted index of the items.
@@ -68,7 +55,7 @@ def shared_runs(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     numbered = F.to_json(F.struct("benchmark", "item_id"))
     index = cut(_runs(items.select(numbered.alias("item"), F.coalesce("text", F.lit("")).alias("text")).distinct(), "item").distinct())
-    found = _runs(docs.select("doc_id", "text"), "doc_id", _filter(index)).join(counted(index), ["n", "run", "also"])
+    found = _runs(docs.select("doc_id", "text"), "doc_id", bitmap(index)).join(counted(index), ["n", "run", "also"])
     pairs = found.groupBy("item", "doc_id").agg(F.count_if(F.col("n") == EXACT_WORDS).alias("shared_exact"), F.count_if(F.col("n") == RUN_WORDS).alias("shared_part"))
     return pairs.select(F.from_json("item", "benchmark string, item_id string").alias("item"), "doc_id", "shared_exact", "shared_part").select("item.*", "doc_id", "shared_exact", "shared_part")
 
