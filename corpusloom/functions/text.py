@@ -171,45 +171,31 @@ def find_secrets(df: DataFrame, key: str, text: str, patterns: dict[str, str] =
     return hits.where("hit.found is not null").select(key, "line_no", "hit.pattern", "hit.found")
 
 
-# How tokens of a space-separated text join their neighbours.
-JOINERS = ((" @-@ ", "-"), (" @,@ ", ","), (" @.@ ", "."), (" -- ", "—"), (" / ", "/"))
-CLOSERS = frozenset([",", ".", ";", ":", "!", "?", "%", ")", "]", "}", "’", "n't", "n’t"])
-OPENERS = frozenset(["(", "[", "{", "‘"])
-CURRENCY = frozenset("$£€¥")
-
-
-def detokenize_line(line: str) -> str:
-    """Natural spacing of one space-separated line: quotes alternate, currency and openers take the next token, closers and
-    contractions the one before, a colon between digits both."""
-    for joiner, to in JOINERS:
-        line = line.replace(joiner, to)
-    tokens = line.split()
-    out: list[str] = []
-    glue, quoted = True, False
-    for i, token in enumerate(tokens):
-        text, left, right = token, False, False
-        if token == '"':
-            left, right, quoted = quoted, not quoted, not quoted
-        elif token in ("``", "''"):
-            text, left, right = '"', token == "''", token == "``"
-        elif token in CURRENCY:
-            right = True
-        elif token == ":" and 0 < i < len(tokens) - 1 and tokens[i - 1][-1] in "0123456789" and tokens[i + 1][0] in "0123456789":
-            left = right = True
-        else:
-            left = token in CLOSERS or (len(token) > 1 and token[0] in "'’")
-            right = token in OPENERS
-        if not (glue or left):
-            out.append(" ")
-        out.append(text)
-        glue = right
-    return "".join(out)
+# Separators that stand for a character between two words, and tokens by the side on which they take no space.
+JOINED = {" @-@ ": "-", " @,@ ": ",", " @.@ ": ".", " -- ": "—", " / ": "/"}
+NO_SPACE_BEFORE = "[,.;:!?%)\\]}’]|n['’]t|['’][^ ]+"
+NO_SPACE_AFTER = "[(\\[{‘$£€¥]"
+#: Stand for opening and closing quotes until the spaces are set; no characters, so no text holds them.
+_OPEN, _CLOSE = "\ufdd0", "\ufdd1"
 
 
-@F.pandas_udf(T.StringType())
-def detokenize(lines: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for series in lines:
-        yield series.map(lambda t: None if t is None else detokenize_line(t))
+def detokenize(line: Column) -> Column:
+    """Natural spacing of a line of space-separated tokens; null stays null.
+
+    Lone straight quotes open and close in turn; then a space goes where the token after it, or before it, takes none.
+    """
+    for separator, to in JOINED.items():
+        line = F.replace(line, F.lit(separator), F.lit(to))
+    padded = F.concat(F.lit(" "), F.trim(F.regexp_replace(line, WHITE_SPACE, " ")), F.lit(" "))
+    quoted = F.split(padded, '(?<= )"(?= )')
+    mark = lambda i: F.when(i == 0, "").when(i % 2 == 1, _OPEN).otherwise(_CLOSE)
+    marked = F.array_join(F.transform(quoted, lambda part, i: F.concat(mark(i), part)), "")
+    for token, to in (("``", _OPEN), ("''", _CLOSE)):
+        marked = F.regexp_replace(marked, f"(?<= ){token}(?= )", to)
+    marked = F.regexp_replace(marked, "(?<=[0-9]) : (?=[0-9])", ":")
+    marked = F.regexp_replace(marked, f" (?=(?:{_CLOSE}|{NO_SPACE_BEFORE}) )", "")
+    marked = F.regexp_replace(marked, f"(?<= (?:{_OPEN}|{NO_SPACE_AFTER})) ", "")
+    return F.trim(F.translate(marked, _OPEN + _CLOSE, '""'))
 
 
 # Hex and Hamming.

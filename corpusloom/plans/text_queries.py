@@ -157,6 +157,28 @@ hits AS (SELECT benchmark, item_id, doc_id, CASE WHEN length(normal) > 120 THEN
   FROM pairs JOIN items USING (benchmark, item_id) WHERE x > 0 OR c >= 0.9)"""
 _TRIMMED = "nullif(trim({}, ' '), '')"
 
+_AROUND = _SPACE.removesuffix("+")
+# Token by token: quotes count up to each one, and a space goes between two tokens unless one of them takes none there.
+_PASSAGES = f"""
+WITH lines AS (SELECT doc_id, n, regexp_replace(regexp_replace(line, '^{_AROUND}+', ''), '{_AROUND}+$', '') AS b FROM (
+  SELECT doc_id, unnest(string_split_regex(text, '\\r?\\n')) AS line, generate_subscripts(string_split_regex(text, '\\r?\\n'), 1) AS n FROM documents WHERE text IS NOT NULL)),
+inner_part AS (SELECT *, trim(CASE WHEN length(b) > 2 THEN substr(b, 2, length(b) - 2) ELSE '' END, ' ') AS i FROM lines WHERE b <> ''),
+kinds AS (SELECT *, CASE WHEN NOT (b LIKE '=%' AND b LIKE '%=' AND i <> '') THEN 'body' WHEN (i LIKE '=%' AND i LIKE '%=') OR i LIKE '%;%' THEN 'section' ELSE 'title' END AS kind FROM inner_part),
+kept AS (SELECT *, sum((kind = 'title')::INT) OVER (PARTITION BY doc_id ORDER BY n) AS article,
+  replace(replace(replace(replace(replace(CASE WHEN kind = 'title' THEN trim(regexp_replace(b, '^=+|=+$', '', 'g'), ' ') ELSE b END, ' @-@ ', '-'), ' @,@ ', ','), ' @.@ ', '.'), ' -- ', '—'), ' / ', '/') AS raw FROM kinds WHERE kind <> 'section'),
+tokens AS (SELECT doc_id, n, unnest(list_filter(string_split_regex(raw, '{_AROUND}+'), lambda x: x <> '')) AS x, generate_subscripts(list_filter(string_split_regex(raw, '{_AROUND}+'), lambda x: x <> ''), 1) AS i FROM kept),
+sides AS (SELECT *, lag(x) OVER w AS before, lead(x) OVER w AS after, count_if(x = '"') OVER w % 2 = 1 AS opens FROM tokens WINDOW w AS (PARTITION BY doc_id, n ORDER BY i)),
+hugs AS (SELECT *, x = ':' AND regexp_matches(before, '[0-9]$') AND regexp_matches(after, '^[0-9]') AS clock FROM sides),
+marks AS (SELECT doc_id, n, i, CASE WHEN x IN ('``', '''''') THEN '"' ELSE x END AS x,
+  CASE WHEN x = '"' THEN NOT opens ELSE x IN (',', '.', ';', ':', '!', '?', '%', ')', ']', '}}', '’', 'n''t', 'n’t') OR (length(x) > 1 AND x[1] IN ('''', '’')) END AS tight_left,
+  CASE WHEN x = '"' THEN opens ELSE x IN ('``', '(', '[', '{{', '‘', '$', '£', '€', '¥') OR coalesce(clock, false) END AS tight_right FROM hugs),
+glued AS (SELECT *, i = 1 OR tight_left OR coalesce(lag(tight_right) OVER (PARTITION BY doc_id, n ORDER BY i), false) AS glue FROM marks),
+clean AS (SELECT doc_id, n, string_agg(CASE WHEN glue THEN x ELSE ' ' || x END, '' ORDER BY i) AS passage FROM glued GROUP BY ALL),
+titles AS (SELECT doc_id, article, replace(passage, ' ', '_') AS base, row_number() OVER (PARTITION BY doc_id, replace(passage, ' ', '_') ORDER BY article) AS again FROM kept JOIN clean USING (doc_id, n) WHERE kind = 'title'),
+body AS (SELECT doc_id, article, n, passage FROM kept JOIN clean USING (doc_id, n) WHERE kind = 'body' AND len(list_filter(string_split_regex(passage, '{_AROUND}+'), lambda x: x <> '')) >= 5)
+SELECT doc_id, 'wikipedia://' || coalesce(base || CASE WHEN again > 1 THEN '-' || again ELSE '' END, '_unknown') || '#p' || row_number() OVER (PARTITION BY doc_id, article ORDER BY n) AS source_uri, passage
+FROM body LEFT JOIN titles USING (doc_id, article)"""
+
 ORACLES = {
     "corpus_words": f"WITH {_WORDS} SELECT count(*) AS documents, sum(len(w))::BIGINT AS words FROM docs",
     "normalized_text_hash": f"""SELECT doc_id, sha256({_norm("coalesce(text, '')")}) AS normal_sha256 FROM documents""",
@@ -177,6 +199,7 @@ WITH lines AS (SELECT trim(unnest(string_split(text, chr(10))), ' ') AS b FROM d
 inner_part AS (SELECT *, trim(CASE WHEN length(b) > 2 THEN substr(b, 2, length(b) - 2) ELSE '' END, ' ') AS i FROM lines)
 SELECT CASE WHEN NOT (b LIKE '=%' AND b LIKE '%=' AND i <> '') THEN 'body' WHEN (i LIKE '=%' AND i LIKE '%=') OR i LIKE '%;%' THEN 'section' ELSE 'title' END AS kind, count(*) AS lines
 FROM inner_part WHERE b IS NOT NULL GROUP BY 1""",
+    "article_passages": _PASSAGES,
     "rendered_rows": f"SELECT DISTINCT leaf_row, md5(concat_ws(chr(10) || chr(10), {_TRIMMED.format('title')}, {_TRIMMED.format('snippet')}, {_TRIMMED.format('url')}) || chr(10)) AS rendered_md5 FROM leaf",
     "secret_findings": "\nUNION ALL ".join(
         f"SELECT doc_id, line_no::INT AS line_no, '{name}' AS pattern, regexp_extract(line, '{p}') AS found FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents) WHERE regexp_matches(line, '{p}')"
