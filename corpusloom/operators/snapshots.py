@@ -1,8 +1,9 @@
 """Problem 3: what changed between consecutive full snapshots of one table.
 
-Snapshots are unpivoted into signed key-field-value cells (+1 for the newer snapshot, -1 for the older) plus one
-key-presence marker for each row; cells that are equal on both sides sum to zero, and the sums that are left classify the
-key and name the changed fields.
+Snapshots are unpivoted into signed cells (+1 for the newer snapshot, -1 for the older) and summed by group, twice: first one
+cell per row, whose value is the whole row, then, of the rows whose sum is not zero, one cell per field and one
+key-presence marker.  What is equal on both sides sums to zero; the sums that are left classify the key and name the changed
+fields.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Snapshots that one pass holds side by side in a grouped row.
+#: Snapshots that one pass holds side by side in a grouped row; a pass reads its own snapshots only, and one of the pass before.
 SNAPSHOTS_PER_PASS = 8
 PRESENCE = "presence"
 
@@ -22,13 +23,13 @@ def _leaves(field: T.StructField, column: Column, path: str) -> list[tuple[str,
     """Struct columns count field by field; a null struct equals one whose fields are all null."""
     if isinstance(field.dataType, T.StructType):
         return [x for f in field.dataType.fields for x in _leaves(f, column.getField(f.name), f"{path}.{f.name}")]
-    return [(path, column)]
+    return [(path, F.to_json(column) if isinstance(field.dataType, T.MapType) else column)]
 
 
 def _as_text(column: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.BinaryType):
         return F.hex(column)
-    if isinstance(kind, (T.ArrayType, T.MapType)):
+    if isinstance(kind, T.ArrayType):
         return F.to_json(F.struct(column.alias("v")), {"ignoreNullFields": "false"})
     return column.cast("string")
 
@@ -49,38 +50,29 @@ def _latest(df: DataFrame, keys: Sequence[str], snapshot: str, delivered: str, v
 def snapshot_cells(df: DataFrame, keys: Sequence[str], snapshot: str, delivered: str, ignore: Sequence[str] = ()) -> DataFrame:
     """Nonzero grouped sums of signed cells: (snapshot, *keys, field, value, sign_sum).
 
-    snapshot is the newer one of each consecutive pair n - 1, n between the least and the greatest number; null is a value
-    like any other; rows with a null key or snapshot are left out; an empty table gives no rows.  Rows that are equal on
-    both sides are dropped before they are unpivoted, as all their cells sum to zero.
+    snapshot is the newer one of two consecutive snapshots, by the numbers that were delivered at all; null is a value like
+    any other; rows with a null key or snapshot are left out; an empty table, or a single snapshot, gives no rows.
     """
-    low, high = df.agg(F.min(snapshot), F.max(snapshot)).first()
+    numbers = [r[0] for r in df.select(snapshot).where(F.col(snapshot).isNotNull()).distinct().orderBy(snapshot).collect()]
     left_out = {*keys, snapshot, delivered, *ignore}
     fields = [f for f in df.schema.fields if f.name not in left_out]
     values = [x for f in fields for x in _leaves(f, F.col(f"`{f.name}`"), f.name)]
     kinds = dict(zip([n for n, _ in values], [f.dataType for f in df.select(*(c.alias(str(i)) for i, (_, c) in enumerate(values))).schema.fields], strict=True))
 
-    def changed(numbers: list[int]) -> DataFrame:
-        wide = _latest(df, keys, snapshot, delivered, values, numbers)
-        pairs = [
-            F.when(
-                ~F.col(f"s{n - 1}").getField("row").eqNullSafe(F.col(f"s{n}").getField("row")),
-                F.struct(F.lit(n).alias("snapshot"), F.col(f"s{n - 1}").getField("row").alias("old"), F.col(f"s{n}").getField("row").alias("new")),
-            )
-            for n in numbers[1:]
-        ]
-        pairs = wide.select(*keys, F.explode(F.filter(F.array(*pairs), lambda p: p.isNotNull())).alias("pair")).select(*keys, "pair.*")
-        sides = []
-        for side, sign in (("old", -1), ("new", 1)):
-            cells = [F.struct(F.lit(name).alias("field"), _as_text(F.col(side).getField(f"f{i}"), kinds[name]).alias("value"), F.lit(sign).alias("sign")) for i, (name, _) in enumerate(values)]
-            cells.append(F.struct(F.lit(PRESENCE).alias("field"), F.lit(None).cast("string").alias("value"), F.lit(sign).alias("sign")))
-            sides.append(F.when(F.col(side).isNotNull(), F.array(*cells)).otherwise(F.array().cast("array<struct<field:string,value:string,sign:int>>")))
-        cells = pairs.select("snapshot", *keys, F.explode(F.concat(*sides)).alias("cell")).select("snapshot", *keys, "cell.*")
+    def changed(part: list) -> DataFrame:
+        wide = _latest(df, keys, snapshot, delivered, values, part)
+        sides = [F.when(F.col(f"s{n}").isNotNull(), F.struct(F.lit(new).alias("snapshot"), F.lit(sign).alias("sign"), F.col(f"s{n}").getField("row").alias("row"))) for old, new in zip(part, part[1:], strict=False) for n, sign in ((old, -1), (new, 1))]
+        rows = wide.select(*keys, F.explode(F.filter(F.array(*sides), lambda x: x.isNotNull())).alias("side")).select(*keys, "side.*")
+        unequal = rows.groupBy("snapshot", *keys, "row").agg(F.sum("sign").cast("int").alias("sign")).where("sign <> 0")
+        cells = [F.struct(F.lit(name).alias("field"), _as_text(F.col("row").getField(f"f{i}"), kinds[name]).alias("value")) for i, (name, _) in enumerate(values)]
+        cells.append(F.struct(F.lit(PRESENCE).alias("field"), F.lit(None).cast("string").alias("value")))
+        cells = unequal.select("snapshot", *keys, "sign", F.explode(F.array(*cells)).alias("cell")).select("snapshot", *keys, "sign", "cell.*")
         return cells.groupBy("snapshot", *keys, "field", "value").agg(F.sum("sign").cast("int").alias("sign_sum")).where("sign_sum <> 0")
 
-    if low is None or low == high:
-        return changed([int(low or 0), int(low or 0) + 1]).where("false")
+    if len(numbers) < 2:
+        return changed([0, 1]).where("false")
     step = SNAPSHOTS_PER_PASS - 1
-    passes = [changed(list(range(first, min(first + step, high) + 1))) for first in range(low, high, step)]
+    passes = [changed(numbers[first : first + step + 1]) for first in range(0, len(numbers) - 1, step)]
     out = passes[0]
     for more in passes[1:]:
         out = out.unionByName(more)

@@ -36,8 +36,14 @@ def test_changes(spark):
 def test_edges(spark):
     assert changes(spark, []) == {}
     assert changes(spark, [row(4, 0, b"a", 0, "x")]) == {}
-    found = changes(spark, [row(1, 0, b"a", 0, "x"), row(4, 0, b"a", 0, "y" * 200_000)])  # snapshots 2 and 3 are empty
-    assert found == {(2, b"a", 0): ("removed", []), (4, b"a", 0): ("added", [])}
+    found = changes(spark, [row(1, 0, b"a", 0, "x"), row(4, 0, b"a", 0, "y" * 200_000)])  # 2 and 3 were never delivered
+    assert found == {(4, b"a", 0): ("changed", ["a"])}
+
+
+def test_maps(spark):
+    rows = [(1, T0, 1, {"a": 1}), (2, T0, 1, {"a": 2}), (1, T0, 2, None), (2, T0, 2, None)]
+    df = spark.createDataFrame(rows, "snap int, at timestamp, k int, m map<string,int>")
+    assert [(r.k, r.change, list(r.fields)) for r in snapshot_changes(df, ("k",), "snap", "at").collect()] == [(1, "changed", ["m"])]
 
 
 def test_against_brute_force_and_many_snapshots(spark):
