@@ -30,6 +30,12 @@ def _forms(name: str, key: str, text: str) -> str:
     return f"SELECT DISTINCT '{name}' AS src, {key} AS k, {text} AS t, {_visible(text)} AS v FROM {name} WHERE {key} IS NOT NULL AND {text} IS NOT NULL"
 
 
+_LEAKS = f"""d AS (SELECT doc_id, {_words("text")} AS w FROM documents WHERE text IS NOT NULL),
+b AS (SELECT DISTINCT benchmark, item_id, {_words("text")} AS w FROM bench_item WHERE text IS NOT NULL),
+d13 AS ({_runs("d", "doc_id", 13)}), d5 AS ({_runs("d", "doc_id", 5)}), b13 AS ({_runs("b", "benchmark, item_id", 13)}), b5 AS ({_runs("b", "benchmark, item_id", 5)}),
+n AS (SELECT benchmark, item_id, count(*) AS n FROM b5 GROUP BY ALL), s AS (SELECT benchmark, item_id, doc_id, count(*) AS shared FROM b5 JOIN d5 USING (run) GROUP BY ALL),
+leaks AS (SELECT DISTINCT benchmark, item_id, doc_id FROM b13 JOIN d13 USING (run) UNION SELECT benchmark, item_id, doc_id FROM s JOIN n USING (benchmark, item_id) WHERE 2 * shared >= n)"""
+
 ORACLES = {
     "p1_found": f"""
 WITH f AS ({_forms("leaf", "passage_id", "snippet")} UNION ALL {_forms("fineweb_row", "id", "text")})
@@ -56,10 +62,14 @@ g AS (SELECT k AS a, k AS b FROM n UNION SELECT g.a, e.b FROM g JOIN e ON g.b =
 c AS (SELECT a AS k, min(leaf_row) AS class_id FROM g JOIN m ON m.k = g.b GROUP BY 1), d AS (SELECT a AS k, count(*) AS n_links FROM e GROUP BY 1)
 SELECT leaf_row, class_id, coalesce(n_links, 0)::BIGINT AS n_links FROM m JOIN c USING (k) LEFT JOIN d USING (k)
 QUALIFY count(*) OVER (PARTITION BY class_id) > 1""",
-    "p5_found": f"""
-WITH d AS (SELECT doc_id, {_words("text")} AS w FROM documents WHERE text IS NOT NULL),
-b AS (SELECT DISTINCT benchmark, item_id, {_words("text")} AS w FROM bench_item WHERE text IS NOT NULL),
-d13 AS ({_runs("d", "doc_id", 13)}), d5 AS ({_runs("d", "doc_id", 5)}), b13 AS ({_runs("b", "benchmark, item_id", 13)}), b5 AS ({_runs("b", "benchmark, item_id", 5)}),
-n AS (SELECT benchmark, item_id, count(*) AS n FROM b5 GROUP BY ALL), s AS (SELECT benchmark, item_id, doc_id, count(*) AS shared FROM b5 JOIN d5 USING (run) GROUP BY ALL)
-SELECT DISTINCT benchmark, item_id, doc_id FROM b13 JOIN d13 USING (run) UNION SELECT benchmark, item_id, doc_id FROM s JOIN n USING (benchmark, item_id) WHERE 2 * shared >= n""",
+    "p5_found": f"WITH {_LEAKS} SELECT benchmark, item_id, doc_id FROM leaks",
+    "p5_unreported": f"""WITH {_LEAKS} SELECT l.* FROM leaks l LEFT JOIN hit h ON h.benchmark = l.benchmark AND h.item_id = l.item_id AND TRY_CAST(regexp_extract(h.doc_id, '([0-9]+)$', 1) AS BIGINT) = l.doc_id
+WHERE h.benchmark IS NULL""",
+    "p5_leaks": f"""WITH {_LEAKS},
+dp AS (SELECT doc_id, p, array_to_string(w[p : p + 4], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM d WHERE len(w) >= 5)),
+bp AS (SELECT benchmark, item_id, i, array_to_string(w[i : i + 4], ' ') AS run FROM (SELECT benchmark, item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b WHERE len(w) >= 5)),
+hits AS (SELECT benchmark, item_id, doc_id, p, p - i AS diagonal FROM leaks JOIN bp USING (benchmark, item_id) JOIN dp USING (doc_id, run)),
+rows_of AS (SELECT benchmark, item_id, doc_id, diagonal, p - row_number() OVER (PARTITION BY benchmark, item_id, doc_id, diagonal ORDER BY p) AS island FROM hits),
+longest AS (SELECT benchmark, item_id, doc_id, max(m) + 4 AS words_in_row FROM (SELECT benchmark, item_id, doc_id, count(*) AS m FROM rows_of GROUP BY benchmark, item_id, doc_id, diagonal, island) GROUP BY ALL)
+SELECT benchmark, item_id, doc_id, words_in_row::INT AS words_in_row, round(shared / n, 6) AS share_of_runs FROM longest JOIN s USING (benchmark, item_id, doc_id) JOIN n USING (benchmark, item_id)""",
 }

@@ -86,7 +86,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaked_items(_texts(spark, sf_dir), table(spark, sf_dir, "bench_item"))
+    """(benchmark, item_id, doc_id, words_in_row, share_of_runs): every leak with what it gives away."""
+    return leaked_items(_texts(spark, sf_dir), table(spark, sf_dir, "bench_item")).withColumn("share_of_runs", F.round("share_of_runs", 6)).drop("run_distance")
 
 
 def p5_unreported(spark: SparkSession, sf_dir: str) -> DataFrame:
