@@ -7,8 +7,11 @@ penalty for every switch labels the spans.
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import math
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -17,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.sampling import bounded_sample
 from corpusloom.llm.visible import plain_form
+from corpusloom.session import cut
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "nl", "sv", "pl", "ru", "zh")
 # Other spellings of the languages in labels.
@@ -27,8 +30,12 @@ SPELLINGS = {
     "it": "it ita italian italiano", "nl": "nl nld dut dutch nederlands", "sv": "sv swe swedish svenska", "pl": "pl pol polish polski", "ru": "ru rus russian русский", "zh": "zh zho chi cmn chinese 中文",
 }
 NO_LANGUAGE = "und n/a na unknown xx xxx zxx mul mis none null -"
-#: Bound of the rows on which the word model is fitted; all other steps cover all rows.
-SAMPLE_ROWS = 4000
+#: Times that all texts are labelled and their words counted: by the seeds, then by the counts of the time before.
+ROUNDS = 2
+#: Least number of a word in one language, and of an n-gram in all of them, for a score of its own.
+LEAST_WORDS, LEAST_GRAMS = 3, 4
+#: Characters whose words are counted at once.
+CHUNK_CHARS = 1_000_000
 SWITCH_PENALTY = 6.0
 UNKNOWN_WEIGHT, UNKNOWN_LIMIT = 0.5, 1.5
 #: A text is natural language if at least this share of its words, weighted by length, is known in its language.
@@ -67,87 +74,128 @@ def _grams(word: str) -> Iterable[str]:
         yield from (padded[i : i + n] for i in range(len(padded) - n + 1))
 
 
+def _digests(strings: Iterable[str]) -> np.ndarray:
+    return np.frombuffer(b"".join([hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest() for x in strings]), np.uint64)
+
+
+class Scores:
+    """Scores of strings in each language, held as sorted 64-bit digests of the strings and one row of numbers for each."""
+
+    def __init__(self, strings: list[str], values: np.ndarray) -> None:
+        keys = _digests(strings)
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+
+    def find(self, strings: list[str]) -> np.ndarray:
+        """Row of every string, -1 for unknown ones."""
+        if not len(self.keys):
+            return np.full(len(strings), -1)
+        digests = _digests(strings)
+        at = np.minimum(np.searchsorted(self.keys, digests), len(self.keys) - 1)
+        return np.where(self.keys[at] == digests, at, -1)
+
+
 class WordModel:
     """Scores of a word in each language: log shares, best language 0; candidates that its script rules out get -inf-like values."""
 
     RULED_OUT = -30.0
 
-    def __init__(self, vocabulary: dict[str, list[float]], grams: dict[str, list[float]]) -> None:
+    def __init__(self, vocabulary: Scores, grams: Scores) -> None:
         self.vocabulary, self.grams = vocabulary, grams
         self.rows: dict[str, int] = {}
         self.table = np.zeros((1024, len(LANGUAGES)), np.float32)
         self.known = np.zeros((1024, len(LANGUAGES)), bool)
 
     @classmethod
-    def fit(cls, texts: list[str], seeds: list[tuple[str, str]]) -> WordModel:
-        """Seeds (language, word) label the texts; their words are counted, the texts labelled again by the counts."""
-        floor = math.log(0.02)
-        seeded: dict[str, list[float]] = {}
+    def seeded(cls, seeds: Iterable[tuple[str, str]]) -> WordModel:
+        """The model of seeds (language, word) alone."""
         by_word: dict[str, set[int]] = defaultdict(set)
         for lang, word in seeds:
             if lang in LANGUAGES:
                 for part in split_words(word):
                     by_word[part].add(LANGUAGES.index(lang))
-        for word, langs in by_word.items():
-            seeded[word] = [0.0 if k in langs else floor for k in range(len(LANGUAGES))]
-        model = cls(seeded, {})
-        for _ in range(2):
-            counts: list[Counter[str]] = [Counter() for _ in LANGUAGES]
-            for text in texts:
-                for line in text.split("\n"):
-                    w = split_words(line)
-                    if 5 * len(JUNCTION.findall(plain_form(line).lower())) > len(w):
-                        continue
-                    if len(w) >= 4 or (w and script(w[0]) == 2):
-                        rows = model.index(w)
-                        total = model.table[rows].sum(axis=0)
-                        best = int(total.argmax())
-                        long = np.array([len(x) > 1 for x in w])
-                        if (model.known[rows, best] & long).mean() >= 0.2 or best == _ZH:
-                            counts[best].update(w)
-            model = cls._counted(counts)
+        values = np.full((len(by_word), len(LANGUAGES)), math.log(0.02), np.float32)
+        for row, langs in zip(values, by_word.values(), strict=True):
+            row[list(langs)] = 0.0
+        return cls(Scores(list(by_word), values), Scores([], np.zeros((0, len(LANGUAGES)))))
+
+    @classmethod
+    def fit(cls, texts: list[str], seeds: list[tuple[str, str]]) -> WordModel:
+        """Seeds (language, word) label the texts; their words are counted, the texts labelled again by the counts."""
+        model, k = cls.seeded(seeds), len(LANGUAGES)
+        for _ in range(ROUNDS):
+            words, grams = defaultdict(lambda: [0] * k), defaultdict(lambda: [0] * k)
+            for word, i, n in model.count(texts):
+                words[word][i] += n
+            held = [(w, sum(1 << i for i in range(k) if n[i])) for w, n in words.items() if w]
+            for gram, mask, n in count_grams(held):
+                for i in range(k):
+                    grams[gram][i] += n * (mask >> i & 1)
+            words = {w: n for w, n in words.items() if not w or max(n) >= LEAST_WORDS}
+            grams = {g: n for g, n in grams.items() if not g or sum(n) >= LEAST_GRAMS}
+            model = cls.counted(list(words), np.array(list(words.values())), list(grams), np.array(list(grams.values())))
         return model
 
     @classmethod
-    def _counted(cls, counts: list[Counter[str]]) -> WordModel:
-        totals = [max(1, sum(c.values())) for c in counts]
+    def counted(cls, words: list[str], of_words: np.ndarray, grams: list[str], of_grams: np.ndarray) -> WordModel:
+        """The model of numbers per language of words and n-grams; the numbers of "" are those of all of them."""
+        k = len(LANGUAGES)
+        logs, kept = _log_shares(words, of_words.reshape(-1, k), 0.05, 50)
+        vocabulary = Scores(kept, np.maximum(logs - logs.max(axis=1, keepdims=True), -7.0).astype(np.float32))
+        logs, kept = _log_shares(grams, of_grams.reshape(-1, k), 0.5, 200)
+        return cls(vocabulary, Scores(kept, logs - logs.mean(axis=1, keepdims=True)))
+
+    def count(self, texts: list[str]) -> list[tuple[str, int, int]]:
+        """(word, language, number) of the words of all lines whose language is plain, and under "" the number of all words
+        per language.  Words in Han letters, which get no scores, count under "" only."""
+        k = len(LANGUAGES)
+        words: list[str] = []
+        lengths: list[int] = []
+        for text in texts:
+            for line in plain_form(text).lower().split("\n"):
+                w = WORD.findall(line)
+                if (len(w) >= 4 or (w and script(w[0]) == 2)) and 5 * len(JUNCTION.findall(line)) <= len(w):
+                    words += w
+                    lengths.append(len(w))
+        if not words:
+            return []
+        rows, sizes = self.index(words), np.array(lengths)
+        lines = len(sizes)
+        line = np.repeat(np.arange(lines), sizes)
+        scores = self.table[rows]
+        best = np.stack([np.bincount(line, scores[:, i], lines) for i in range(k)], axis=1).argmax(axis=1)
+        long = np.array([len(x) > 1 for x in words])
+        sure = np.bincount(line, self.known[rows, best[line]] & long, lines) / sizes
+        kept = np.flatnonzero(((sure >= 0.2) | (best == _ZH))[line])
+        codes, first, numbers = np.unique(rows[kept] * k + best[line[kept]], return_index=True, return_counts=True)
+        langs = codes % k
+        found = [(words[at], i, n) for at, i, n in zip(kept[first].tolist(), langs.tolist(), numbers.tolist(), strict=True)]
+        totals = np.bincount(langs, numbers, k).astype(np.int64).tolist()
+        return [x for x in found if script(x[0]) != 2] + [("", i, n) for i, n in enumerate(totals) if n]
+
+    def _scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         k = len(LANGUAGES)
-        words = {w for c in counts for w, n in c.items() if n >= 3 and script(w) != 2}
-        vocabulary, gram_counts = {}, defaultdict(lambda: [0.0] * k)
-        for w in words:
-            logs = [math.log((c[w] + 0.05) / (t + 50)) for c, t in zip(counts, totals, strict=True)]
-            top = max(logs)
-            vocabulary[w] = [max(x - top, -7.0) for x in logs]
-        for i, c in enumerate(counts):
-            for w in c:
-                if script(w) != 2:
-                    for g in _grams(w):
-                        gram_counts[g][i] += 1
-        sums = [max(1.0, sum(g[i] for g in gram_counts.values())) for i in range(k)]
-        grams = {}
-        for g, n in gram_counts.items():
-            if sum(n) >= 4:
-                logs = [math.log((x + 0.5) / (s + 200)) for x, s in zip(n, sums, strict=True)]
-                mean = sum(logs) / k
-                grams[g] = [x - mean for x in logs]
-        return cls(vocabulary, grams)
-
-    def _score(self, word: str) -> tuple[list[float], list[bool]]:
-        kind, k = script(word), len(LANGUAGES)
-        out = self.RULED_OUT
-        if kind == 2:
-            return [0.0 if i == _ZH else out for i in range(k)], [i == _ZH for i in range(k)]
-        allowed = [i != _ZH and (kind == 0 or i == _RU) for i in range(k)]
-        if (known := self.vocabulary.get(word)) is not None:
-            return [s if a else out for s, a in zip(known, allowed, strict=True)], [a and len(word) > 1 and s > -3.0 for s, a in zip(known, allowed, strict=True)]
-        if kind == 1:
-            return [0.0 if a else out for a in allowed], [False] * k
-        found = [self.grams[g] for g in _grams(word) if g in self.grams]
-        if not found or len(word) < 2:
-            return [0.0 if a else out for a in allowed], [False] * k
-        total = [UNKNOWN_WEIGHT * sum(x) / len(found) for x in zip(*found, strict=True)]
-        top = max(t for t, a in zip(total, allowed, strict=True) if a)
-        return [max(t - top, -UNKNOWN_LIMIT) if a else out for t, a in zip(total, allowed, strict=True)], [False] * k
+        kinds = np.array([script(w) for w in words])[:, None]
+        each = np.arange(k)
+        allowed = np.where(kinds == 2, each == _ZH, (each != _ZH) & ((kinds == 0) | (each == _RU)))
+        out = np.zeros((len(words), k))
+        at = np.where(kinds[:, 0] == 2, -1, self.vocabulary.find(words))
+        held = np.flatnonzero(at >= 0)
+        out[held] = self.vocabulary.values[at[held]]
+        long = np.array([len(w) > 1 for w in words])[:, None]
+        known = allowed & np.where(kinds == 2, True, (at >= 0)[:, None] & long & (out > -3.0))
+        unknown = np.flatnonzero((at < 0) & (kinds[:, 0] == 0) & long[:, 0])
+        grams = [list(_grams(words[i])) for i in unknown]
+        owner = np.repeat(np.arange(len(unknown)), [len(g) for g in grams])
+        place = self.grams.find(list(itertools.chain.from_iterable(grams)))
+        owner, place = owner[place >= 0], place[place >= 0]
+        number = np.bincount(owner, minlength=len(unknown))
+        of = self.grams.values[place]
+        total = np.stack([np.bincount(owner, of[:, i], len(unknown)) for i in range(k)], axis=1)
+        total = UNKNOWN_WEIGHT * total / np.maximum(number, 1)[:, None]
+        top = np.where(allowed[unknown], total, -np.inf).max(axis=1, initial=-np.inf, keepdims=True)
+        out[unknown] = np.where((number > 0)[:, None], np.maximum(total - top, -UNKNOWN_LIMIT), 0.0)
+        return np.where(allowed, out, self.RULED_OUT), known
 
     def index(self, words: list[str]) -> np.ndarray:
         rows = self.rows
@@ -155,19 +203,36 @@ class WordModel:
             rows.clear()
         found = list(map(rows.get, words))
         if None in found:
-            for i, r in enumerate(found):
-                if r is None:
-                    w = words[i]
-                    if (r := rows.get(w)) is None:
-                        r = rows[w] = len(rows)
-                        if r >= len(self.table):
-                            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                            self.known = np.concatenate([self.known, np.zeros_like(self.known)])
-                        self.table[r], self.known[r] = self._score(w)
-                    found[i] = r
+            new = list(dict.fromkeys(w for w, r in zip(words, found, strict=True) if r is None))
+            first = len(rows)
+            rows.update(zip(new, range(first, first + len(new)), strict=True))
+            if len(rows) > len(self.table):
+                more = max(len(self.table), len(rows) - len(self.table))
+                self.table, self.known = (np.concatenate([x, np.zeros((more, x.shape[1]), x.dtype)]) for x in (self.table, self.known))
+            for low in range(0, len(new), 10_000):
+                part = slice(first + low, min(first + low + 10_000, len(rows)))
+                self.table[part], self.known[part] = self._scores(new[low : low + 10_000])
+            found = list(map(rows.get, words))
         return np.array(found, np.int64)
 
 
+def count_grams(words: Iterable[tuple[str, int]]) -> list[tuple[str, int, int]]:
+    """(n-gram, languages, number) over distinct words with the languages they stand in, as bits; under "" all n-grams."""
+    counts: Counter[tuple[str, int]] = Counter()
+    for word, mask in words:
+        grams = list(_grams(word))
+        counts.update((g, mask) for g in grams)
+        counts["", mask] += len(grams)
+    return [(g, mask, n) for (g, mask), n in counts.items()]
+
+
+def _log_shares(strings: list[str], numbers: np.ndarray, more: float, more_in_all: float) -> tuple[np.ndarray, list[str]]:
+    """Log shares per language of all strings but "", whose numbers are the totals, and these strings."""
+    order = [i for i, x in enumerate(strings) if x]
+    totals = np.maximum(1, sum((numbers[i] for i, x in enumerate(strings) if not x), np.zeros(len(LANGUAGES))))
+    return np.log((numbers[order] + more) / (totals + more_in_all)), [strings[i] for i in order]
+
+
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
     """Best label of every word of many texts at once; scores are laid end to end, lengths per text."""
     order = np.argsort(-lengths, kind="stable")
@@ -264,13 +329,79 @@ def _confidence(votes: np.ndarray, sums: np.ndarray) -> np.ndarray:
     return votes[rows, best] / np.maximum(votes.sum(axis=1), 1) / (1 + np.exp(-margin))
 
 
-_open: dict[int, WordModel] = {}
+_open: dict[str, WordModel] = {}
 
 
-def fit_word_model(df: DataFrame, text: str, seeds: DataFrame, sample_rows: int = SAMPLE_ROWS) -> WordModel:
-    """Fit on a bounded sample of at most sample_rows whole texts, spread over the table."""
-    words = [tuple(r) for r in seeds.select("lang", "word").where("lang is not null and word is not null").orderBy("lang", "word").limit(20_000).collect()]
-    return WordModel.fit(bounded_sample(df, text, sample_rows), words)
+class _Shared:
+    """A model for the Python workers, each of which opens it once."""
+
+    def __init__(self, df: DataFrame, model: WordModel) -> None:
+        self.token = uuid.uuid4().hex
+        self.tables = df.sparkSession.sparkContext.broadcast((model.vocabulary, model.grams))
+
+    def open(self) -> WordModel:
+        if self.token not in _open:
+            _open.clear()
+            _open[self.token] = WordModel(*self.tables.value)
+        return _open[self.token]
+
+
+def _chunks(texts: Iterable[str], most: int = CHUNK_CHARS) -> Iterator[list[str]]:
+    part, size = [], 0
+    for text in texts:
+        part.append(text)
+        size += len(text)
+        if size >= most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def _per_language(counts: DataFrame, key: str) -> DataFrame:
+    """(key, numbers per language) of rows (key, languages as bits, number)."""
+    numbers = [F.sum(F.when(F.col("langs").bitwiseAND(1 << i) != 0, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(len(LANGUAGES))]
+    return counts.groupBy(key).agg(*numbers)
+
+
+def _collected(counts: DataFrame, key: str) -> tuple[list[str], np.ndarray]:
+    found = counts.toArrow()
+    return found[key].to_pylist(), np.stack([found[f"n{i}"].to_numpy() for i in range(len(LANGUAGES))], axis=1)
+
+
+def _counted_model(df: DataFrame, text: str, model: WordModel) -> WordModel:
+    """The model of the words of all texts, labelled by another model.  Words and n-grams are counted where the rows are;
+    those with scores of their own, and the totals, come to the driver."""
+    shared, schema = _Shared(df, model), pa.schema([("word", pa.string()), ("langs", pa.int32()), ("n", pa.int64())])
+
+    def rows(found: list[tuple[str, int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*found, strict=True)) or [[], [], []], schema, strict=True)], schema=schema)
+
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in _chunks(batch.column(0).to_pylist()):
+                yield rows([(w, 1 << i, n) for w, i, n in shared.open().count(texts)])
+
+    def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield rows(count_grams(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)))
+
+    columns = [F.col(f"n{i}") for i in range(len(LANGUAGES))]
+    texts = df.select(F.col(text).alias("text")).where("text is not null")
+    words = cut(_per_language(texts.mapInArrow(words_of, "word string, langs int, n long"), "word"))
+    held = sum((F.when(c > 0, 1 << i).otherwise(0) for i, c in enumerate(columns)), F.lit(0))
+    grams = words.where("word <> ''").select("word", held.alias("langs")).mapInArrow(grams_of, "word string, langs int, n long")
+    words = words.where((F.col("word") == "") | (F.greatest(*columns) >= LEAST_WORDS))
+    grams = _per_language(grams, "word").where((F.col("word") == "") | (sum(columns, F.lit(0)) >= LEAST_GRAMS))
+    return WordModel.counted(*_collected(words, "word"), *_collected(grams, "word"))
+
+
+def fit_word_model(df: DataFrame, text: str, seeds: DataFrame) -> WordModel:
+    """Fit on all texts and all seeds, as WordModel.fit does."""
+    model = WordModel.seeded(tuple(r) for r in seeds.select("lang", "word").where("lang is not null and word is not null").distinct().collect())
+    for _ in range(ROUNDS):
+        model = _counted_model(df, text, model)
+    return model
 
 
 def text_languages(df: DataFrame, key: str, text: str, model: WordModel) -> DataFrame:
@@ -278,18 +409,14 @@ def text_languages(df: DataFrame, key: str, text: str, model: WordModel) -> Data
 
     Null keys give no row; null, blank and wordless texts give a null language; rows are labelled alone, without a shuffle.
     """
-    shared = df.sparkSession.sparkContext.broadcast((model.vocabulary, model.grams))
-    token = hash(tuple(sorted((w, *s) for w, s in model.vocabulary.items())))
+    shared = _Shared(df, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if token not in _open:
-            _open.clear()
-            _open[token] = WordModel(*shared.value)
         kind = pa.struct([("seg_no", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64())])
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for first in range(0, len(texts), 500):
-                found = label_texts(texts[first : first + 500], _open[token])
+                found = label_texts(texts[first : first + 500], shared.open())
                 bounds = np.concatenate([[0], np.cumsum([len(x) for x in found])])
                 flat = list(zip(*(x for rows in found for x in rows), strict=True)) or [[], [], []]
                 structs = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(flat, kind, strict=True)], fields=list(kind))

@@ -76,3 +76,25 @@ def test_columns(spark, model):
     assert found == {"a": ["en", "en"], "b": [None], "c": [None], "d": [found["d"][0], "de", "fr"], "e": ["es", "es"]} and out.count() == 6
     assert {r.key for r in out.where(lg.is_mixed(out.segments)).collect()} == {"d"}
     assert lg.text_languages(df.where("false"), "id", "text", model).count() == 0
+
+
+def test_fit_covers_all_texts_and_seeds(spark):
+    rare = [f"{TEXTS['de']} {''.join('bdfghklmnp'[int(d)] for d in f'{i % 2000:04}')}" for i in range(6000)]  # 2,000 words, each in three texts
+    seeds = [(lang, w) for lang in ("de", "ru") for w in TEXTS[lang].split()]
+    more = spark.range(20_001).selectExpr("'en' as lang", "concat('x', translate(cast(id as string), '0123456789', 'bdfghklmnp')) as word")
+    df = spark.createDataFrame([(t,) for t in [*rare, *[TEXTS["ru"]] * 3, None]], "text string").repartition(5)
+    found = lg.fit_word_model(df, "text", spark.createDataFrame(seeds, "lang string, word string").unionByName(more))
+    words = sorted({t.split()[-1] for t in rare})
+    assert len(words) == 2000
+    ru = found.index(lg.split_words("совет деревни"))
+    assert found.known[ru, lg.LANGUAGES.index("ru")].all()
+    whole = lg.WordModel.fit([*rare, *[TEXTS["ru"]] * 3], [*seeds, *[tuple(r) for r in more.collect()]])
+    words += [*TEXTS["de"].split(), *TEXTS["ru"].split(), "bdfgz", "gemeinden", "zzz"]
+    rows, same = found.index(words), whole.index(words)
+    assert np.allclose(found.table[rows], whole.table[same], atol=1e-6)
+
+
+def test_fit_on_nothing(spark):
+    none = spark.createDataFrame([(None, None)], "lang string, word string")
+    model = lg.fit_word_model(none.selectExpr("word as text"), "text", none)
+    assert lg.label_texts([TEXTS["en"], TEXTS["zh"]], model)[1][0][1] == "zh"
