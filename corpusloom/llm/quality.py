@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.language import viterbi
-from corpusloom.llm.sampling import bounded_sample
 from corpusloom.llm.unicode_arrays import code_points, slices, utf8
 from corpusloom.llm.visible import plain_form
 
@@ -25,9 +24,8 @@ KINDS = ("prose", "list", "table", "junk")
 PROSE, LIST, TABLE, JUNK = range(4)
 SWITCH = 1.5
 SLICE_BYTES = 1_000_000
-#: Bound of the texts on which the word evidence is fitted; all other steps cover all rows.
-SAMPLE_ROWS = 20_000
-MOST_WORDS = 50_000
+#: Least number of a word in sentences and marked entries for evidence of its own.
+LEAST_WORDS = 5
 CHUNK = 40
 #: Mean evidence at which a line is as likely a sentence as an entry: nouns, in both, weigh a little towards entries.
 NEUTRAL = 0.3
@@ -342,11 +340,11 @@ def word_hash(word: str) -> int:
     return total & 0xFFFFFFFFFFFFFFFF
 
 
-def fit_evidence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, log odds): how much more often a word stands in sentences than in marked entries."""
-    forms = pa.array([plain_form(t) for t in texts], pa.string())
+def count_evidence(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, numbers in sentences and in marked entries) of the words of both."""
+    forms = pa.array([plain_form(t) if t else "" for t in texts], pa.string())
     data, offsets = utf8(forms)
-    prose, entry = [], []
+    hashes, numbers = [np.zeros(0, np.uint64)], [np.zeros((0, 2), np.int64)]
     for first, last in slices(offsets, SLICE_BYTES):
         low = offsets[first]
         lines = Lines(data[low : offsets[last]], offsets[first : last + 1] - low)
@@ -354,21 +352,50 @@ def fit_evidence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         sentence = plain & lines.line_end & ~lines.marked & (lines.units() >= 6)
         item = plain & lines.marked & ~lines.line_end & (lines.units() <= 14)
         for line, h in lines.terms():
-            prose.append(h[sentence[line]])
-            entry.append(h[item[line]])
-    a, na = np.unique(np.concatenate(prose or [np.zeros(0, np.uint64)]), return_counts=True)
-    b, nb = np.unique(np.concatenate(entry or [np.zeros(0, np.uint64)]), return_counts=True)
-    known = np.union1d(a, b)
-    both = np.zeros((len(known), 2))
-    both[np.searchsorted(known, a), 0] = na
-    both[np.searchsorted(known, b), 1] = nb
-    frequent = np.argsort(-both.sum(axis=1), kind="stable")[:MOST_WORDS]
-    frequent = np.sort(frequent[both[frequent].sum(axis=1) >= 5])
-    known, both = known[frequent], both[frequent]
-    odds = np.log((both[:, 0] + 1) / (na.sum() + 1000)) - np.log((both[:, 1] + 1) / (nb.sum() + 1000))
+            for k, kind in enumerate((sentence, item)):
+                found, n = np.unique(h[kind[line]], return_counts=True)
+                hashes.append(found)
+                numbers.append(np.stack([n * (k == 0), n * (k == 1)], axis=1))
+    known, place = np.unique(np.concatenate(hashes), return_inverse=True)
+    both = np.concatenate(numbers)
+    return known, np.stack([np.bincount(place, both[:, k], len(known)).astype(np.int64) for k in (0, 1)], axis=1)
+
+
+def log_odds(known: np.ndarray, both: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, log odds) of the words found often enough; totals are the numbers of all words."""
+    order = np.argsort(known)
+    order = order[both[order].sum(axis=1) >= LEAST_WORDS]
+    known, both = known[order], both[order]
+    odds = np.log((both[:, 0] + 1) / (totals[0] + 1000)) - np.log((both[:, 1] + 1) / (totals[1] + 1000))
     return known, np.clip(odds, -2, 2)
 
 
+def fit_evidence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, log odds): how much more often a word stands in sentences than in marked entries."""
+    known, both = count_evidence(texts)
+    return log_odds(known, both, both.sum(axis=0))
+
+
+def word_evidence(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """fit_evidence of all texts of a table: words are counted where the rows are; those with evidence, and the totals
+    (under a null hash), come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known, both = count_evidence(batch.column(0).to_pylist())
+            hashes = pa.concat_arrays([pa.array(known.view(np.int64)), pa.array([None], pa.int64())])
+            both = np.concatenate([both, both.sum(axis=0, keepdims=True)])
+            yield pa.RecordBatch.from_arrays([hashes, pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["hash", "prose", "entry"])
+
+    counts = docs.select(F.col(text)).where(F.col(text).isNotNull()).mapInArrow(run, "hash long, prose long, entry long")
+    counts = counts.groupBy("hash").agg(F.sum("prose").alias("prose"), F.sum("entry").alias("entry"))
+    found = counts.where(F.col("hash").isNull() | (F.col("prose") + F.col("entry") >= LEAST_WORDS)).toArrow().combine_chunks()
+    both = np.stack([found[c].to_numpy() for c in ("prose", "entry")], axis=1)
+    whole = found["hash"].is_null().to_numpy()
+    known = found["hash"].drop_null().to_numpy().view(np.uint64)
+    return log_odds(known, both[~whole], both[whole].sum(axis=0))
+
+
 def statistics(texts: list[str | None], evidence: tuple[np.ndarray, np.ndarray], common: np.ndarray) -> dict[str, np.ndarray]:
     """Per text: the statistics, the shares of the four labels by characters, and the kind (index into KINDS)."""
     forms = pa.array([plain_form(t) if t else "" for t in texts], pa.string())
@@ -398,14 +425,14 @@ def statistics(texts: list[str | None], evidence: tuple[np.ndarray, np.ndarray],
 REAL = ("mean_word_length", "symbol_ratio", "share_lines_end_stop", "share_common_words", "repeated_runs", *(f"share_{k}" for k in KINDS))
 
 
-def text_quality(docs: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def text_quality(docs: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, statistics, shares, kind) of every row; null and blank texts have zero counts and a null kind.
 
-    The word evidence is fitted on a bounded sample of the texts; statistics and labels are made of
+    The word evidence is fitted on all texts, whose numbers of words are shuffled; statistics and labels are made of
     each whole text alone, without a shuffle.
     """
-    evidence = fit_evidence(bounded_sample(docs, text, sample_rows))
-    words = common_words.select("word").where("word is not null").distinct().limit(MOST_WORDS).collect()
+    evidence = word_evidence(docs, text)
+    words = common_words.select("word").where("word is not null").distinct().collect()
     common = np.unique(np.array([word_hash(plain_form(r.word)) for r in words], np.uint64))
     shared = docs.sparkSession.sparkContext.broadcast((evidence, common))
     kind = docs.schema[key].dataType.simpleString()

@@ -54,3 +54,25 @@ def test_columns(spark):
     assert found[0].n_words == 0 and found[3].share_common_words > 0.2 and found[3][1:] == found[5][1:]
     assert q.text_quality(df.where("false"), words.where("false")).count() == 0
     assert len(bounded_sample(df, "text", 3)) <= 3
+
+
+def _words(n):
+    return ["x" + "".join("bdfghklmnp"[int(d)] for d in f"{i:05}") for i in range(n)]
+
+
+def test_evidence_of_all_words():
+    words = _words(60_000)
+    hashes, _ = q.fit_evidence([" ".join(words[i : i + 20]) + "." for i in range(0, len(words), 20)] * 5)
+    assert set(hashes.tolist()) == {q.word_hash(w) for w in words}
+
+
+def test_columns_cover_all_texts_and_common_words(spark):
+    words, rare = _words(60_000), "velm dorn quist harb tolm wend"
+    entries = spark.range(60_000).selectExpr("id as doc_id", "concat('- mill ', translate(cast(id as string), '0123456789', 'bdfghklmnp')) as text")
+    texts = [f"The {w}: {rare}." for w in words[:5]] + [rare, " ".join(words), None]  # words of evidence stand in five of all texts
+    df = entries.unionByName(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    common = spark.createDataFrame([("en", w) for w in words], "lang string, word string")
+    found = {r.doc_id: r for r in q.text_quality(df, common).where("doc_id < 0").collect()}
+    assert found[-6].kind == "prose" and found[-7].share_common_words == 1 and found[-8].kind is None
+    known, odds = q.fit_evidence([r.text for r in df.where("text is not null").collect()])
+    assert odds[known == q.word_hash("velm")].tolist() == [2]
