@@ -150,6 +150,7 @@ class Lines:
             mojibake[1:] = lead & ~first[1:]
         mojibake |= (cp >= 0x7F) & (cp <= 0x9F) | (cp == 0xFFFD)
         self.take = kept
+        self.clauses = _in_lines(tight & (follows == CASELESS), starts)[kept]  # commas of scripts that set no space after them
         self.doc = doc[kept]
         self.counts = counts[kept]
         self.chars = chars[kept]
@@ -348,7 +349,7 @@ def count_evidence(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     for first, last in slices(offsets, SLICE_BYTES):
         low = offsets[first]
         lines = Lines(data[low : offsets[last]], offsets[first : last + 1] - low)
-        plain = (lines.delimiters[:, :4].sum(axis=1) == 0) & (lines.change * 20 < lines.chars) & (lines.counts[:, MARKUP] == 0)
+        plain = (lines.delimiters[:, :4].sum(axis=1) == lines.clauses) & (lines.change * 20 < lines.chars) & (lines.counts[:, MARKUP] == 0)
         sentence = plain & lines.line_end & ~lines.marked & (lines.units() >= 6)
         item = plain & lines.marked & ~lines.line_end & (lines.units() <= 14)
         for line, h in lines.terms():

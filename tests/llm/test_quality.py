@@ -76,3 +76,10 @@ def test_columns_cover_all_texts_and_common_words(spark):
     assert found[-6].kind == "prose" and found[-7].share_common_words == 1 and found[-8].kind is None
     known, odds = q.fit_evidence([r.text for r in df.where("text is not null").collect()])
     assert odds[known == q.word_hash("velm")].tolist() == [2]
+
+
+def test_evidence_of_sentences_with_commas_without_spaces():
+    texts = ["同一个星期里，旧城区的申请书比较了报告，而且图书馆保存了手稿。"] * 5 + ["- 报告\n- 旧城区\n- 手稿"] * 5 + ["name,报告,12,35,67,890."] * 5
+    hashes, odds = q.fit_evidence(texts)
+    known = dict(zip(hashes.tolist(), odds.tolist(), strict=True))
+    assert known[q.word_hash("比较")] > 1 and known[q.word_hash("保存")] > 1 and q.word_hash("name") not in known
