@@ -25,10 +25,14 @@ def jaccard_ppm(a, b, size: int = 128):
     return F.floor(equal * 1_000_000 / size).cast("long")
 
 
+def band_hashes(count: int = BANDS, rows: int = ROWS):
+    """Array of a 64-bit hash of each band's number and values."""
+    return F.array(*(F.xxhash64(F.lit(b), F.slice("minhash", b * rows + 1, rows)) for b in range(count)))
+
+
 def bands(signatures: DataFrame, key: str, count: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(band, bucket, key): a 64-bit hash of the band's values; the values themselves are compared afterwards."""
-    slices = [F.xxhash64(F.lit(b), F.slice("minhash", b * rows + 1, rows)) for b in range(count)]
-    return signatures.select(key, F.posexplode(F.array(*slices)).alias("band", "bucket"))
+    return signatures.select(key, F.posexplode(band_hashes(count, rows)).alias("band", "bucket"))
 
 
 def signatures(docs: DataFrame, key: str, text: str, kernel: str = "blake3", label: bytes = LABEL) -> DataFrame:

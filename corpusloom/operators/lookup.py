@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions.text import hamming
-from corpusloom.operators.dedup import bands, jaccard_ppm
+from corpusloom.operators.dedup import band_hashes, bands, jaccard_ppm
+from corpusloom.operators.run_filter import bitmap, passing
 from corpusloom.session import cut
 
 MINHASH_BANDS, MINHASH_ROWS, MINHASH_PPM = 32, 4, 850_000
@@ -119,29 +120,43 @@ def bucket_statistics(buckets: DataFrame) -> DataFrame:
 def best_minhash(signatures: DataFrame, queries: DataFrame, key: str, query: str, least_ppm: int = MINHASH_PPM, index: DataFrame | None = None, own: bool = True) -> DataFrame:
     """(query, key, ppm): of every query signature the most similar row at or above least_ppm, of equal ones the least key.
 
-    Equal signatures are looked up once and found by their least key, so copies cost nothing; candidates agree in at least
-    one band of the index, which holds at least the least key of every signature and without which it is built here.
+    Equal signatures (by 128 bits of hash) are looked up once and found by their least key.  Candidates agree in at least one
+    band of the index, which holds at least the least key of every signature and without which it is built here.
+    A bitmap of the queries' bands goes to all executors; of the searched rows, which are read once, only those with a band
+    that it lets pass are kept or shuffled.  No join broadcasts signatures, as Spark takes an array for one value when it
+    estimates their size.
     own=False: queries are rows of the searched set, and none finds its own row; other rows of its signature count.
     """
-    known = cut(signatures.groupBy("minhash").agg(F.min(key).alias(key)))
-    index = index_buckets(known, key) if index is None else index
-    groups = cut(queries.groupBy("minhash").agg(F.min(query).alias("_query")))
-    asked = index_buckets(groups, "_query")
-    pairs = asked.join(index, ["band", "bucket"]).select("_query", F.col(key).alias("_key")).distinct()
-    x, y = groups.select("_query", F.col("minhash").alias("x")), known.select(F.col(key).alias("_key"), F.col("minhash").alias("y"))
-    scored = pairs.join(x, "_query").join(y, "_key").select("_query", "_key", jaccard_ppm(F.col("x"), F.col("y")).alias("ppm")).where(F.col("ppm") >= least_ppm)
+    twin = ["_one", "_two"]
+    hashed = lambda df, k, *more: df.where("minhash is not null").select(k, "minhash", *(F.xxhash64(F.lit(n), "minhash").alias(n) for n in twin), *more)
+    of_query = {"_one": "_q1", "_two": "_q2"}
+    asked = cut(hashed(queries, query))
+    buckets = cut(asked.select(*twin, F.posexplode(band_hashes(MINHASH_BANDS, MINHASH_ROWS)).alias("band", "bucket")).distinct())
+    rows = cut(passing(hashed(signatures, key, band_hashes(MINHASH_BANDS, MINHASH_ROWS).alias("hits")), "hits", bitmap(buckets, "bucket")))
+    known = cut(rows.groupBy(*twin).agg(F.min(key).alias(key)))
+    firsts = rows.join(known, [*twin, key], "left_semi")
+    heads = asked.groupBy(*twin).agg(F.min(query).alias(query))
+    x = asked.join(heads, [*twin, query], "left_semi").select(*twin, F.col("minhash").alias("x")).withColumnsRenamed(of_query)
+    y = firsts.select(*twin, F.col(key).alias("_key"), F.col("minhash").alias("y"))
+    if index is None:
+        pairs = buckets.withColumnsRenamed(of_query).join(firsts.select(*twin, F.explode("hits").alias("bucket")), "bucket").select("_q1", "_q2", *twin).distinct()
+        pairs = pairs.join(y.hint("merge"), twin)
+    else:
+        pairs = buckets.withColumnsRenamed(of_query).join(index, ["band", "bucket"]).select("_q1", "_q2", F.col(key).alias("_key")).distinct()
+        pairs = pairs.join(y.hint("merge"), "_key")
     if not own:
-        scored = scored.where("ppm < 1000000")  # equal signatures are added below
-    best = scored.groupBy("_query").agg(F.min(F.struct((-F.col("ppm")).alias("d"), F.col("_key").alias("k"))).alias("b"))
-    members = queries.join(groups, "minhash").select(F.col(query), "_query", "minhash")
+        pairs = pairs.where("_q1 <> _one or _q2 <> _two")  # equal signatures are added below
+    scored = pairs.join(x.hint("merge"), ["_q1", "_q2"]).select("_q1", "_q2", "_key", jaccard_ppm(F.col("x"), F.col("y")).alias("ppm")).where(F.col("ppm") >= least_ppm)
+    best = scored.groupBy(F.col("_q1").alias("_one"), F.col("_q2").alias("_two")).agg(F.min(F.struct((-F.col("ppm")).alias("d"), F.col("_key").alias("k"))).alias("b"))
+    members = asked.select(query, *twin)
     if not own:
-        least = known.select("minhash", F.col(key).alias("_first"))
-        next_ = signatures.join(least, "minhash").where(F.col(key) > F.col("_first")).groupBy("minhash").agg(F.min(key).alias("_next"))
+        least = known.join(heads, twin, "left_semi").select(*twin, F.col(key).alias("_first"))
+        next_ = rows.select(*twin, key).join(least, twin).where(F.col(key) > F.col("_first")).groupBy(*twin).agg(F.min(key).alias("_next"))
         copy = F.when(F.col(query) == F.col("_first"), F.col("_next")).otherwise(F.col("_first"))
-        rows = members.join(best, "_query", "left").join(least, "minhash", "left").join(next_, "minhash", "left").withColumn("_copy", copy)
-        found = rows.select(query, F.coalesce("_copy", "b.k").alias(key), F.when(F.col("_copy").isNotNull(), -F.lit(1_000_000).cast(scored.schema["ppm"].dataType)).otherwise(F.col("b.d")).alias("d"))
+        found = members.join(best, twin, "left").join(least, twin, "left").join(next_, twin, "left").withColumn("_copy", copy)
+        found = found.select(query, F.coalesce("_copy", "b.k").alias(key), F.when(F.col("_copy").isNotNull(), -F.lit(1_000_000).cast(scored.schema["ppm"].dataType)).otherwise(F.col("b.d")).alias("d"))
         return found.where(F.col("d").isNotNull()).select(query, key, (-F.col("d")).alias("ppm"))
-    return members.join(best, "_query").select(query, F.col("b.k").alias(key), (-F.col("b.d")).alias("ppm"))
+    return members.join(best, twin).select(query, F.col("b.k").alias(key), (-F.col("b.d")).alias("ppm"))
 
 
 def near_bits(values: DataFrame, queries: DataFrame, key: str, query: str, bits: str = "bits", most: int = PERCEPTUAL_THRESHOLD) -> DataFrame:

@@ -45,3 +45,22 @@ def may_hold(words: np.ndarray, runs: np.ndarray) -> np.ndarray:
         place = place[at]
         passes[at] = (words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
     return passes
+
+
+def passing(df: DataFrame, probes: str, words: np.ndarray) -> DataFrame:
+    """Rows of which an array of 64-bit hashes has any that may be in the bitmap; of the array, those stay."""
+    shared = df.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.schema.get_field_index(probes)
+            lists = batch.column(place)
+            found = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            passes = may_hold(shared.value, found)
+            rows, counts = np.unique(owner[passes], return_counts=True)
+            kept = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(found[passes].view(np.int64)))
+            columns = batch.take(pa.array(rows)).columns
+            yield pa.RecordBatch.from_arrays([kept if i == place else c for i, c in enumerate(columns)], names=batch.schema.names)
+
+    return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import signals as s
 from corpusloom.functions import text as t
+from corpusloom.functions.blake3 import with_sketches
 from corpusloom.operators import lookup as lk
 from corpusloom.operators import manifest as m
 from corpusloom.operators import merkle as mk
@@ -210,9 +211,10 @@ def index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fuzzy_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best match of every document whose id is divisible by 100 among all other documents."""
-    rows = _signatures(spark, sf_dir)
-    asked = rows.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "minhash")
-    return lk.best_minhash(rows, asked, "doc_id", "query_id", own=False)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    sketched = lambda df: with_sketches(spread(df).select("doc_id", t.normalize_text(F.coalesce("text", F.lit(""))).alias("normal")), "normal", "fast").select("doc_id", "minhash")
+    asked = sketched(docs.where("doc_id % 100 = 0")).withColumnRenamed("doc_id", "query_id")
+    return lk.best_minhash(sketched(docs), asked, "doc_id", "query_id", own=False)
 
 
 ROBOTS = "User-agent: GPTBot\nDisallow: /\nAllow: /del\n\nUser-agent: *\nDisallow: /ith\nDisallow: /var\nAllow: /vark\n"

@@ -1,5 +1,6 @@
 import bisect
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -81,6 +82,32 @@ def test_own_row_is_no_match(spark):
     assert found[3] == (5, 1_000_000) and found[1][0] == 2 and 6 not in found
 
 
+def test_signatures_are_not_broadcast(spark):
+    """Copies, near and other rows are found as by brute force, and no join sends signatures to the driver, however small they seem."""
+    random.seed(3)
+    words = [f"w{i}" for i in range(3000)]
+    base = [words[i * 100 : i * 100 + 120] for i in range(20)]
+    texts = [b if k == 0 else b[:119] + [f"x{k}"] if k < 3 else b for b in base for k in range(5)] + [[]] * 3
+    df = with_sketches(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "id long, t string"), "t", "fast").select("id", "minhash")
+    signatures = {r.id: r.minhash for r in df.collect()}
+    queries = df.where("id % 3 = 0").withColumnRenamed("id", "q")
+    for own in (False, True):
+        answer = lk.best_minhash(df, queries, "id", "q", own=own)
+        found = {r.q: (r.id, r.ppm) for r in answer.collect()}
+        same = lambda a, b: sum(x == y for x, y in zip(signatures[a], signatures[b], strict=True)) * 1_000_000 // 128
+        best = {a: max((same(a, b), -b) for b in signatures if own or b != a) for a in signatures if a % 3 == 0}
+        assert found == {a: (-b, ppm) for a, (ppm, b) in best.items() if ppm >= lk.MINHASH_PPM}
+        plan = answer._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        sent = [x for x in plan.split("\n\n") if ") BroadcastExchange" in x]
+        assert not [x for x in sent if re.search(r"\b(minhash|x|y)#", x)]
+
+
+def test_full_bitmap_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr("corpusloom.operators.run_filter.MOST_BITS", 64)
+    test_own_row_is_no_match(spark)
+    test_index_equals_exhaustive_search(spark)
+
+
 def test_iscc(spark):
     a, b = bytes(range(20)), bytes([0, 3, *range(2, 20)])
     df = spark.createDataFrame([(a, b)], "a binary, b binary")
