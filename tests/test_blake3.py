@@ -54,6 +54,18 @@ def test_columns(spark):
     assert df.select(F.col("k")).count() == 3
 
 
+def test_sketches_of_the_jvm_equal_numpy(spark):
+    """Of one block, several, one chunk and trees of them, blanks of any number, other scripts: and no Python worker takes part."""
+    sizes = (1, 11, 12, 13, 63, 64, 65, 127, 128, 200, 204, 205, 1023, 1024, 1025, 2048, 2049, 3073, 5000, 8193)
+    texts = [None, "", "  ", "a", "a  b", "  a b c d e  f ", " ".join(["a b c d e"] * 9), " ".join(f"w{i % 40}" for i in range(90))]
+    texts += ["q" * n for n in sizes] + [" ".join("é日😀z"[(n + k) % 4] * (n // 3 + k) for k in range(7)) for n in sizes]
+    found = b.with_sketches(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), "t", simhash=True)
+    lists = [[w for w in (t or "").split(" ") if w] for t in texts]
+    minhash, simhash = b.minhash_many(lists).view(np.int64), b.simhash_many(lists).view(np.int64)
+    assert {r.k: (r.minhash, r.simhash) for r in found.collect()} == {k: (minhash[k].tolist(), simhash[k]) for k in range(len(texts))}
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()
+
+
 def test_fingerprints(spark):
     text = "The quick brown fox jumps over the lazy dog. Pack my box with five dozen liquor jugs."
     rows = b.fingerprints(spark.createDataFrame([(1, text), (2, None), (3, "")], "k int, t string"), "t").collect()
